@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, mixing, tokens
+from corvane.llm import decontaminate, licenses, mixing, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": tokens.op2_token_counts,
     "op3_token_file": tokens.op3_token_file,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_licenses": licenses.op9_licenses,
     "op10_mix": mixing.op10_mix,
 }
 
-ORACLES: dict[str, str] = {"op10_mix": mixing.OP10_SQL}
+ORACLES: dict[str, str] = {"op8_secrets": secrets.OP8_SQL, "op10_mix": mixing.OP10_SQL}
