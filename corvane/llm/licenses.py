@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import columns, read
 
 SHINGLE, BANDS, LEAST = 5, 64, 0.8
+#: Templates of at most so many characters in all are broadcast; more are joined by shuffle.
+BROADCAST_CHARS = 1 << 20
 
 #: Notices searched for by default; any table of (license_id, text) will do.
 TEMPLATES = (
@@ -54,19 +56,21 @@ def bands(shingles: str, n: int) -> Column:
 
 def license_scan(docs: DataFrame, notices: DataFrame | None = None, n_bands: int = BANDS, least: float = LEAST) -> DataFrame:
     """A row for each window and template contained in it: doc_id, row_ (hash of the text), license_id, window (first shingle), containment."""
-    spark = docs.sparkSession
-    known = with_shingles(columns(notices if notices is not None else templates(spark), "license_id", "text")).withColumn("shingles", F.array_distinct("shingles")).where(F.size("shingles") > 0)
+    notices = columns(notices if notices is not None else templates(docs.sparkSession), "license_id", "text")
+    small = (notices.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    known = with_shingles(notices).withColumn("shingles", F.array_distinct("shingles")).where(F.size("shingles") > 0)
     known = known.withColumn("c", F.ceil(F.log2(F.size("shingles"))).cast("int")).withColumnRenamed("shingles", "wanted")
     member = known.select(F.explode("wanted").alias("m_"), F.col("c")).distinct()
     texts = with_shingles(columns(docs, "doc_id", "text").withColumn("row_", F.xxhash64("text")))
-    hits = texts.select("doc_id", "row_", "shingles", F.posexplode("shingles").alias("at", "h")).join(member, F.col("h") == F.col("m_"))
+    hits = texts.select("doc_id", "row_", "shingles", F.posexplode("shingles").alias("at", "h")).join(side(member), F.col("h") == F.col("m_"))
     step = F.expr("shiftleft(1, c)")
     k = F.floor(F.col("at") / step).cast("int")
     windows = hits.select("doc_id", "row_", "c", "shingles", step.alias("step"), F.explode(F.filter(F.array(k, k - 1), lambda x: x >= 0)).alias("k"))
     windows = windows.groupBy("doc_id", "row_", "c", "k").agg(F.first(F.array_distinct(F.slice("shingles", F.col("k") * F.col("step") + 1, 2 * F.col("step")))).alias("window"))
     near = (
         windows.select("doc_id", "row_", "c", "k", "window", F.posexplode(bands("window", n_bands)).alias("band", "value"))
-        .join(known.select(F.col("c").alias("c_"), "license_id", "wanted", F.posexplode(bands("wanted", n_bands)).alias("b_", "v_")), (F.col("c") == F.col("c_")) & (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))
+        .join(side(known.select(F.col("c").alias("c_"), "license_id", "wanted", F.posexplode(bands("wanted", n_bands)).alias("b_", "v_"))), (F.col("c") == F.col("c_")) & (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))
         .groupBy("doc_id", "row_", "c", "k", "license_id").agg(F.first("window").alias("window"), F.first("wanted").alias("wanted"))
     )
     share = F.size(F.array_intersect("window", "wanted")) / F.size("wanted")
