@@ -45,13 +45,17 @@ def templates(spark: SparkSession) -> DataFrame:
 def with_shingles(df: DataFrame) -> DataFrame:
     """``df`` with ``shingles``, hashes in the order of the text, in place of ``text``."""
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    df = df.withColumn("words_", words)
-    n = F.size("words_") - (SHINGLE - 1)
-    return df.withColumn("shingles", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("words_", i, SHINGLE)))).when(F.size("words_") > 0, F.array(F.xxhash64("words_"))).otherwise(F.array().cast("array<bigint>"))).drop("words_", "text")
+    none = F.array().cast("array<bigint>")
+
+    def hashes(w: Column) -> Column:
+        return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(none)
+
+    return df.withColumn("shingles", F.get(F.transform(F.array(words), hashes), F.lit(0))).drop("text")  # as a lambda's variable, words are made once for each text
 
 
 def bands(shingles: str, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, i))))
+    per_band = lambda w: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_min(F.transform(w, lambda h: F.xxhash64(h, i))))
+    return F.get(F.transform(F.array(shingles), per_band), F.lit(0))
 
 
 def license_scan(docs: DataFrame, notices: DataFrame | None = None, n_bands: int = BANDS, least: float = LEAST) -> DataFrame:
@@ -63,7 +67,7 @@ def license_scan(docs: DataFrame, notices: DataFrame | None = None, n_bands: int
     known = known.withColumn("c", F.ceil(F.log2(F.size("shingles"))).cast("int")).withColumnRenamed("shingles", "wanted")
     member = known.select(F.explode("wanted").alias("m_"), F.col("c")).distinct()
     texts = with_shingles(columns(docs, "doc_id", "text").withColumn("row_", F.xxhash64("text")))
-    hits = texts.select("doc_id", "row_", "shingles", F.posexplode("shingles").alias("at", "h")).join(side(member), F.col("h") == F.col("m_"))
+    hits = texts.select("doc_id", "row_", "shingles", F.posexplode_outer("shingles").alias("at", "h")).join(side(member), F.col("h") == F.col("m_"))
     step = F.expr("shiftleft(1, c)")
     k = F.floor(F.col("at") / step).cast("int")
     windows = hits.select("doc_id", "row_", "c", "shingles", step.alias("step"), F.explode(F.filter(F.array(k, k - 1), lambda x: x >= 0)).alias("k"))
