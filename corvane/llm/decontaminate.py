@@ -28,7 +28,7 @@ BLOCK_BYTES = 32 << 20
 SHARE = 20  # a document is contaminated from one hit word in so many
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in texts before A-Z become lower case
 _BUILT: dict[str, object] = {}
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<struct<start:int,end:int>>, items array<string>"
