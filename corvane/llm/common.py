@@ -102,8 +102,10 @@ class RollingHash:
             return
         inverse = pow(self.BASE, -1, 2**64)
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate([[1], np.full(span, self.BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([[1], np.full(span, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            self.power, self.inverse = (np.full(span + 1, x, np.uint64) for x in (self.BASE, inverse))
+            for p in (self.power, self.inverse):
+                p[0] = 1
+                np.cumprod(p, out=p)
         self.span = span
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
@@ -123,18 +125,18 @@ def rolling(span: int = 1 << 20) -> RollingHash:
     return _ROLLING.setdefault(0, RollingHash(span))
 
 
-#: Bytes of words as the near-duplicate contract has them: all but space and \x09-\x0D, A-Z in lower case; 0 parts words.
+#: Words as the near-duplicate contract has them: bytes other than space and \x09-\x0D, A-Z in lower case.
 WORD_TABLE = np.arange(256, dtype=np.uint8)
 WORD_TABLE[65:91] += 32
-WORD_TABLE[[0x20, *range(0x09, 0x0E)]] = 0
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts that lie one after another, and the first word of each text (one more at the end)."""
     out, firsts, r = [], np.zeros(len(offsets), np.int64), rolling()
-    zero = WORD_TABLE == 0
     space = np.empty(len(data) + 1, bool)
-    space[:-1] = zero[data]
+    space[:-1] = SPACE[data]
     space[-1] = True
     cut = np.zeros(len(data) + 1, bool)  # a text's first byte starts a word even after a word byte
     cut[offsets] = True
