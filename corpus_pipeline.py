@@ -1,13 +1,64 @@
-"""The corpus pipeline: stages, each a corpus operator over all that the one before kept."""
+"""The corpus pipeline: stages over all documents that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with all their columns; the last one returns a
+row for each document of the token file. Columns other than doc_id, text, lang and source pass unseen, whatever their names.
+Rows with a null doc_id are judged by their own text, and are never dropped as copies of other documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import decontaminate, mixing, near, quality, tokens
+from corvane.llm.common import read, set_aside, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents inside the perplexity limits of their language."""
+    rows, back = set_aside(docs, "doc_id", "lang", "text")
+    return quality.judged(rows, read(spark, sf_dir, "labels")).where("kept_").select(*back)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words a shingle, similarity 0.8."""
+    dropped = near.near_duplicates(docs, shingle=5).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold the benchmark."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's share asks for."""
+    rows, back = set_aside(docs, "doc_id", "source", "text")
+    mixed = mixing.mix_sources(mixing.with_size(rows)).where("copies > 0")
+    return mixed.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*back)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token file and returns its documents: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.read_token_file(tokens.token_file(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token file", token_stage),
+]
 
-STAGES: list = []
+#: The classifier and the tokenizer can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task turns into arrays at a time.
@@ -174,3 +174,9 @@ def shingle_hashes(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.nd
         parts.append(part)
         sizes.append(len(part))
     return (np.concatenate(parts) if parts else full[:0]), np.cumsum(sizes)
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``names`` renamed so that none clashes, and the columns that give it back."""
+    own = [n if n in names else f"aside_{i}_" for i, n in enumerate(df.columns)]
+    return df.toDF(*own), [F.col(o).alias(n) for o, n in zip(own, df.columns, strict=True)]

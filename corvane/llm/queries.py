@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, licenses, mixing, near, secrets, tokens
+from corvane.llm import decontaminate, licenses, mixing, near, quality, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": tokens.op2_token_counts,
     "op3_token_file": tokens.op3_token_file,
     "op4_near_duplicates": near.op4_near_duplicates,
+    "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
