@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,9 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` as a written table: it cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    spark, path, schema = df.sparkSession, shared_dir(df.sparkSession), df.schema
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files of plans that the driver's JVM no longer holds
+    return spark.read.schema(schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

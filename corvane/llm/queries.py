@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, licenses, mixing, near, quality, secrets, tokens
+from corvane.llm import decontaminate, licenses, mixing, near, quality, secrets, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": substrings.op1_substrings,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_token_file": tokens.op3_token_file,
     "op4_near_duplicates": near.op4_near_duplicates,
