@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, licenses, mixing, near, quality, secrets, substrings, tokens
+from corvane.llm import decontaminate, licenses, mixing, near, neighbours, quality, secrets, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": substrings.op1_substrings,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": near.op4_near_duplicates,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
     "op10_mix": mixing.op10_mix,
