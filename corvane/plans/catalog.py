@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corvane.plans import ingest, retrieval, service
+
+QUERIES: dict = ingest.QUERIES | retrieval.QUERIES | service.QUERIES
+ORACLES: dict = ingest.ORACLES | retrieval.ORACLES | service.ORACLES
