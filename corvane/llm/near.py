@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of ``shingle`` words, as 64-bit has
 whose smallest doc_id stands for it from then on; groups of copies of any size so become one row.
 
 Sketch: shingle hashes fall into ``BUCKETS`` buckets; a register keeps the least hash of its bucket as its count of leading zeros and
-``MANTISSA`` bits after the first one. An empty register takes the next full one's value for banding. ``ROWS`` registers
-in a row make a band; classes that agree in a band share a key. At a similarity of 0.8 two sets agree in none of the 42 bands with probability
+``MANTISSA`` bits after the first one. An empty register takes the next full one's value for banding. ``ROWS`` registers that lie
+far apart (in small sets neighbours repeat each other) make a band; classes that agree in a band share a key. At a similarity of 0.8 two sets agree in none of the 42 bands with probability
 3e-6.
 
 Within a key, members are compared with one hub, not with each other. Pairs whose estimated similarity (corrected for registers
@@ -58,7 +58,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     at = np.where(registers != EMPTY, np.arange(BUCKETS), 4 * BUCKETS)
     at = np.concatenate([at, at + BUCKETS], axis=1)
     at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS] % BUCKETS
-    full = np.take_along_axis(registers, at, axis=1)[:, : BANDS * ROWS].reshape(n, BANDS, ROWS).astype(np.uint64)
+    full = np.take_along_axis(registers, at, axis=1)[:, : BANDS * ROWS].reshape(n, ROWS, BANDS).transpose(0, 2, 1).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (n, BANDS)).copy()
     for i in range(ROWS):
         keys = mix(keys ^ full[:, :, i] + np.uint64(i << 32))
