@@ -2,7 +2,7 @@
 
 ``Encoder`` encodes with the tokenizers library. The vocabulary's pre-tokenizer never lets a token pass from a character that
 is not white space to white space, so a text is cut there and each distinct piece is encoded once for each
-Python worker (at most ``CACHED`` pieces are held). Texts with control characters on whose class regular
+Python worker (two tables of about ``CACHED`` pieces are held). Texts with control characters on whose class regular
 expression libraries differ are encoded in one call.
 
 Token files (operator 3): ids in ascending doc_id order are cut into blocks of ``BLOCK`` ids; a block's bytes (or bits) are
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, columns, read, table
 
-CACHED = 300_000
+CACHED = 500_000
 BLOCK = 1 << 16
 FLAT_BLOCK = 1 << 18
-_UNIT = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_UNIT = re.compile(rf" ?[{_L}]+(?=[.,;:!?]*(?!\S))|[.,;:!?]+(?!\S)| ?\S+|\s+(?=\s\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _WORKER: dict[tuple, Encoder] = {}
 
@@ -49,44 +51,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for t, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(t)  # of a byte-level vocabulary each character stands for a byte
         self.held: dict[str, bytes] = {}
-
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.held]
-        if len(self.held) + len(new) > CACHED:
-            self.held.clear()
-            new = list(units)
-        for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, new: set[str]) -> None:
+        """Afterwards ``held`` has these units."""
+        plain, others = [], []
+        for u in new:
+            if (ids := self.older.get(u)) is not None:
+                self.held[u] = ids
+            else:
+                (plain if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else others).append(u)
+        for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.held[u] = np.array(e.ids, self.dtype).tobytes()
+        if plain:  # no token passes from one to the next: one text of them has the same ids, told apart by the bytes that each id stands for
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in plain])) + 1
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            for u, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self.held[u] = raw[size * a : size * b]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
+        """The units of a text, some at a time."""
         if _ODD.search(text):
             yield [text]
-        elif len(text) < 1 << 21:
-            yield _UNIT.findall(text)
         else:
-            part = []
-            for m in _UNIT.finditer(text):
-                part.append(m.group())
-                if len(part) == 1 << 17:
-                    yield part
-                    part = []
-            yield part
+            units = (m.group() for m in _UNIT.finditer(text))
+            while part := list(islice(units, 1 << 17)):
+                yield part
+
+    def ids(self, units: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units. What was met since the last turn but one outlives a turn of the two tables."""
+        if len(self.held) > CACHED:
+            self.held, self.older = {}, self.held
+        found, new = [list(map(self.held.get, u)) for u in units], set()
+        gaps = []
+        for k, f in enumerate(found):
+            for _ in range(f.count(None)):
+                at = f.index(None, gaps[-1][1] + 1 if gaps and gaps[-1][0] == k else 0)
+                gaps.append((k, at))
+                new.add(units[k][at])
+        self.learn(new)
+        for k, at in gaps:
+            found[k][at] = self.held[units[k][at]]
+        return [b"".join(f) for f in found]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         if sum(len(t or "") for t in texts) < 1 << 21:
-            cut = [[u for p in self.pieces(t or "") for u in p] for t in texts]
-            self.learn({u for c in cut for u in c})
-            for c in cut:
-                yield np.frombuffer(b"".join(map(self.held.__getitem__, c)), self.dtype)
+            for raw in self.ids([[t] if _ODD.search(t) else _UNIT.findall(t) for t in (t or "" for t in texts)]):
+                yield np.frombuffer(raw, self.dtype)
             return
         for t in texts:
-            out = []
-            for p in self.pieces(t or ""):
-                self.learn(set(p))
-                out.append(b"".join(map(self.held.__getitem__, p)))
-            yield np.frombuffer(b"".join(out), self.dtype)
+            yield np.frombuffer(b"".join(self.ids([p])[0] for p in self.pieces(t or "")), self.dtype)
 
 
 def encoder(path: str, specials: bool) -> Encoder:
