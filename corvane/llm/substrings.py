@@ -42,16 +42,19 @@ HOT = 20_000
 _AT, _N = 15, 7
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def runs(data: np.ndarray, offsets: np.ndarray, anchors_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """Document (by number), place, anchor and class of the runs of texts that lie one after another, block by block."""
     r = rolling()
-    limit = np.zeros(0, np.int64)
     for lo in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
         d = data[lo : lo + BLOCK + LENGTH - 1]
         prefix, n = r.prefix(d), len(d) - GRAM + 1
-        at = np.arange(n)
-        h = r.of(prefix, at, at + GRAM)
-        m = (h & ~_LOW) | at.astype(np.uint64)
+        h = prefix[GRAM:] - prefix[:-GRAM]
+        h *= r.inverse[:n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        m = h & ~_LOW
+        m |= np.arange(n, dtype=np.uint64)
         size = 1
         while size < SPAN:
             step = min(size, SPAN - size)
@@ -67,6 +70,9 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ..
         inside = pos[change] >= 0
         start, end = change[inside], end[inside]
         anchor = pos[start]
+        if anchors_only:
+            yield (h[anchor],)
+            continue
         doc = np.searchsorted(offsets, start + lo, "right") - 1
         place = (start + lo - offsets[doc] << _AT) | (end - start << _N) | (anchor - start)
         yield doc, place, h[anchor], r.of(prefix, start, end + LENGTH - 1)
@@ -86,8 +92,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 for doc, place, anchor, name in runs(*utf8(b.column(1))):
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(ids[doc]), pa.array(place)], ["anchor", "class", "doc_", "place"])
 
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            with np.errstate(over="ignore"):
+                for (anchor,) in runs(*utf8(b.column(1)), anchors_only=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
+
     found = docs.mapInArrow(f, "anchor long, class long, doc_ long, place long")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a_"))
+    often = docs.mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a_"))
     return table(found.join(often.hint("shuffle_hash"), F.col("anchor") == F.col("a_"), "left_semi"))
 
 
@@ -99,20 +111,26 @@ def contents(docs: DataFrame, classes: DataFrame) -> DataFrame:
         r = rolling()
         for b in batches:
             out: list[tuple] = []
-            for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for w in wanted.as_py():
-                    at, n = w["place"] >> _AT, w["place"] >> _N & 255
-                    part = data[at : at + n + LENGTH - 1]
-                    a = np.frombuffer(part, np.uint8)
-                    with np.errstate(over="ignore"):
-                        same = len(a) == n + LENGTH - 1 and int(r.of(r.prefix(a), np.zeros(1, int), np.array([len(a)])).view(np.int64)[0]) == w["class"]
-                    if not same:
-                        continue  # another row with this doc_id
-                    if w["hot"]:
-                        out += [(w["anchor"], None, doc, at + i << _AT | 1 << _N, part[i : i + LENGTH]) for i in range(n)]
+            texts, lists_ = b.column(1), b.column(2)
+            ends, fields = lists_.offsets.to_numpy(), [x.to_numpy(zero_copy_only=False) for x in lists_.values.flatten()]
+            for k, doc in enumerate(b.column(0).to_pylist()):
+                data = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
+                anchor, name, place, hot = (x[ends[k] : ends[k + 1]] for x in fields)
+                start, n = _unpack(place)
+                stop = start + n + LENGTH - 1
+                good = np.flatnonzero(stop <= len(data))
+                with np.errstate(over="ignore"):
+                    if len(data) <= 2 * BLOCK:
+                        same = r.of(r.prefix(np.frombuffer(data, np.uint8)), start[good], stop[good])
+                    else:
+                        same = np.array([r.of(r.prefix(np.frombuffer(data[x:y], np.uint8)), np.zeros(1, int), np.array([y - x]))[0] for x, y in zip(start[good].tolist(), stop[good].tolist(), strict=True)], np.uint64)
+                good = good[same.view(np.int64) == name[good]]  # else another row with this doc_id
+                for i in good.tolist():
+                    part = data[start[i] : stop[i]]
+                    if hot[i]:
+                        out += [(anchor[i], None, doc, int(start[i]) + x << _AT | 1 << _N, part[x : x + LENGTH]) for x in range(int(n[i]))]
                     else:
-                        out.append((w["anchor"], w["class"], doc, w["place"], part))
+                        out.append((anchor[i], name[i], doc, place[i], part))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CONTENT.types, strict=True)], schema=_CONTENT)
                     out = []
@@ -134,7 +152,7 @@ def sorted_suffixes(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(h):
         key = (key << 9) | wide[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     rank = np.empty(n + depth * 2, np.int64)
@@ -144,7 +162,7 @@ def sorted_suffixes(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     while h < depth and len(open_):
         part = order[open_]
         key = (rank[part] << 32) | (rank[part + h] + 1)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         part, key = part[by], key[by]
         order[open_] = part
         new = np.append(True, key[1:] != key[:-1])
