@@ -32,9 +32,9 @@ def ranking_metrics(cases: DataFrame, predicted: DataFrame, k: int) -> DataFrame
     return cases.join(by, "case_id", "left").select("case_id", "category", zero(F.col("hits") / n).alias("recall"), zero(F.lit(1.0) / F.col("first")).alias("mrr"), zero(F.col("dcg") / ideal).alias("ndcg"))
 
 
-def summarize(rows: DataFrame, *by: str) -> DataFrame:
+def summarize(rows: DataFrame, *by: str, digits: int = 4) -> DataFrame:
     """Means of recall, mrr, ndcg and, if there, latency_ms with its nearest-rank 95th percentile, by the given columns or over all."""
-    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(f"avg_{c}")
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), digits).alias(f"avg_{c}")
     out = [F.count("*").alias("total"), mean("recall"), mean("mrr"), mean("ndcg")]
     if "latency_ms" in rows.columns:
         out += [mean("latency_ms"), F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)"), F.lit(0.0)).alias("p95_latency_ms")]

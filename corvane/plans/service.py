@@ -148,7 +148,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def bucket_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = evaluate.ranking_metrics(*_judged(spark, d), 5).withColumn("latency_ms", F.pmod("case_id", F.lit(97)).cast("double"))
-    return evaluate.summarize(rows, "category")
+    return evaluate.summarize(rows, "category", digits=7)
 
 
 def ablation_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +292,7 @@ SELECT query_id, web_reason, length(c) AS n, length(replace(url_encode(c), '%2F'
     "source_dedup": """WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS session, min(page_id) AS ord, url FROM pages GROUP BY 1, url, length(html))
 SELECT *, row_number() OVER (PARTITION BY session ORDER BY ord) AS place FROM p QUALIFY place <= 5""",
     "retrieval_metrics": _JUDGED + " SELECT * FROM m",
-    "bucket_metrics": _JUDGED + " SELECT category, count(*) AS total, round(avg(recall), 4) AS avg_recall, round(avg(mrr), 4) AS avg_mrr, round(avg(ndcg), 4) AS avg_ndcg, round(avg(case_id % 97), 4) AS avg_latency_ms, quantile_disc((case_id % 97)::DOUBLE, 0.95) AS p95_latency_ms FROM m GROUP BY 1",
+    "bucket_metrics": _JUDGED + " SELECT category, count(*) AS total, round(avg(recall), 7) AS avg_recall, round(avg(mrr), 7) AS avg_mrr, round(avg(ndcg), 7) AS avg_ndcg, round(avg(case_id % 97), 7) AS avg_latency_ms, quantile_disc((case_id % 97)::DOUBLE, 0.95) AS p95_latency_ms FROM m GROUP BY 1",
     "pareto_frontier": """WITH r AS (SELECT s_suppkey, round(s_acctbal / 10000, 4) AS recall, (s_suppkey * 7919 % 997)::DOUBLE AS latency FROM supplier)
 SELECT * FROM r QUALIFY recall > coalesce(max(recall) OVER (ORDER BY latency, recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""",
     "answer_metrics": f"WITH {_ANSWERS} SELECT hard_case, {_RATES} FROM j GROUP BY 1",
