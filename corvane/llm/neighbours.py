@@ -50,7 +50,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _matrix(col: pa.Array, kind: type = np.float32) -> np.ndarray:
     raw = col.to_pylist()
-    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1) if raw else np.zeros((0, 1), kind)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,6 +162,8 @@ def first_graph(nodes: DataFrame, n: int, k: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             m = _matrix(b.column(1))
             for t, tree in enumerate(forest.value):
                 yield pa.RecordBatch.from_arrays([pa.array(leaf_of(tree, m) * TREES + t), *b.columns], ["leaf", "node", "vec"])
