@@ -180,7 +180,7 @@ def _merged(name: str, source: str, forms: int, n: int) -> str:
     return f"{name} AS (SELECT query_id, doc_id, greatest(max(score), 0.0) AS score, min((form, rank)) AS f FROM (SELECT query_id // {forms} AS query_id, query_id % {forms} AS form, doc_id, score, rank FROM {source}) GROUP BY 1, 2), {name}_top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) AS rank FROM {name} QUALIFY rank <= {n})"
 
 
-_AUTH = "CASE WHEN contains(source_url, '.gov.cn') THEN 4 WHEN contains(source_url, 'zut.edu.cn') THEN 3 WHEN contains(source_url, '.edu.cn') THEN 2 WHEN source_url <> '' THEN 1 ELSE 0 END"
+_AUTH = "CASE WHEN contains(source_url, '.gov.cn') THEN 4 WHEN contains(source_url, '.edu.cn') THEN 2 WHEN source_url <> '' THEN 1 ELSE 0 END"
 ORACLES = {
     "sparse_overlap_topk": _BASE + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse",
     "bm25_topk": f"""{_BASE}, st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM tok), raw AS (SELECT token, ln(n_docs - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM post, st GROUP BY token, n_docs),
