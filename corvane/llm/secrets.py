@@ -37,7 +37,7 @@ def _matches(k: int) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows of (blob, text)."""
+    """Ledger rows of (blob, text), a row for each blob."""
     none = F.array().cast("array<struct<kind:int,gap:int,m:int,ok:boolean>>")
     found = blobs.select("blob", F.posexplode_outer(F.concat(*[F.coalesce(_matches(k), none) for k in range(len(RULES))])).alias("i", "f")).select("blob", "i", "f.*")
     w = Window.partitionBy("blob", "kind").orderBy("i")
@@ -49,12 +49,14 @@ def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """``versions``: path and text of every version. Returns the new rows of the ledger, written, and the findings (path, blob, spans) of all versions."""
     rows = columns(versions, "path", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2("text", 256))
-    one = rows.groupBy("blob").agg(F.min("path").alias("p_")).withColumnRenamed("blob", "b_")
+    unseen = rows
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version)
+        one = rows.groupBy("blob").agg(F.min("path").alias("p_")).withColumnRenamed("blob", "b_")
         one = one.join(seen.select(F.col("blob").alias("b_")).distinct(), "b_", "left_anti")
-    unseen = rows.join(one.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p_")) & (F.col("blob") == F.col("b_")), "left_semi")
-    new = table(scan_blobs(unseen.select("blob", "text"), rule_version).dropDuplicates(["blob"]))
+        unseen = rows.join(one.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p_")) & (F.col("blob") == F.col("b_")), "left_semi")
+    texts = unseen.groupBy("blob").agg(F.first("text").alias("text"))  # rows that repeat path and text are one blob too
+    new = table(scan_blobs(texts, rule_version))
     known = new if ledger is None else new.unionByName(seen)
     known = known.where(F.size("spans") > 0).select(F.col("blob").alias("b_"), "spans")
     found = rows.select("path", "blob").join(known, F.col("blob") == F.col("b_"), "left")

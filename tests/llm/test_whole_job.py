@@ -2,7 +2,9 @@
 
 import random
 
-from corvane.llm import near
+import duckdb
+
+from corvane.llm import near, secrets
 
 
 def test_small_sets_are_linked(spark):
@@ -15,3 +17,18 @@ def test_small_sets_are_linked(spark):
         rows += [(2 * k, " ".join(w[: c + 1])), (2 * k + 1, " ".join(w))]
     got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_repeated_rows_are_scanned_once(spark, tmp_path):
+    """Repeated rows and rows without an id have the spans of their own text."""
+    a, b = "token=abcdefghijkl0", "x AKIA" + "A" * 16 + " y"
+    rows = [(7, a), (7, a), (8, a), (None, a), (None, b), (None, b), (9, b), (10, None), (None, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(secrets.OP8_SQL)
+    got = secrets.op8_secrets(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    nothing = spark.createDataFrame([], "blob string, rule_version string, spans array<struct<start:bigint,kind:int,end:bigint>>")
+    new, found = secrets.scan_history(spark.createDataFrame(rows, "path long, text string"), nothing)
+    assert new.count() == 3 and sorted(len(r["spans"]) for r in found.collect()) == [0] * 3 + [1] * 7
