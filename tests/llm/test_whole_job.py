@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from corvane.llm import near, secrets
+from corvane.llm import near, quality, secrets
 
 
 def test_small_sets_are_linked(spark):
@@ -32,3 +32,17 @@ def test_repeated_rows_are_scanned_once(spark, tmp_path):
     nothing = spark.createDataFrame([], "blob string, rule_version string, spans array<struct<start:bigint,kind:int,end:bigint>>")
     new, found = secrets.scan_history(spark.createDataFrame(rows, "path long, text string"), nothing)
     assert new.count() == 3 and sorted(len(r["spans"]) for r in found.collect()) == [0] * 3 + [1] * 7
+
+
+def test_every_language_is_judged(spark):
+    """Languages of few or no trusted documents, a null one too, take the limits of all trusted documents."""
+    rng = random.Random(5)
+    words = [w.strip(".,") for w in "the quick brown fox jumps over a lazy dog while seven grey geese fly home across the cold north sea and sing".split()]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(60))
+    junk = lambda: "".join(rng.choice("#@%qxz~^0&") for _ in range(300))
+    rows = [(i, "en", prose()) for i in range(120)] + [(200, "fr", prose()), (201, "fr", junk()), (202, None, junk()), (203, "de", prose()), (204, "de", junk()), (None, "es", junk())]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(120), 200]] + [(201, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()
+    assert all(r["low"] is not None and r["high"] is not None for r in got)
+    assert not any(r["kept_"] for r in got if r["doc_id"] in (201, 202, 204, None))
+    assert sum(r["kept_"] for r in got) > 115
