@@ -14,8 +14,8 @@
 An anchor of more than ``hot`` contents (a passage that very many documents hold, each with other text around it) would fill a
 block: its strings are dealt out one by one, by the string itself.
 
-Nothing is collected by key beyond the runs of one document. Null text counts as empty; documents without a doc_id come after all others and,
-like rows that repeat a doc_id, count as one document (the same start in both is no repeat of itself); texts under 100
+Nothing is collected by key beyond the runs of one row. Null text counts as empty; every row is judged and cut by itself: where rows lack a
+doc_id or repeat one, all rows are numbered in the order of doc_id (none last), hash of the text, place in the input; texts under 100
 bytes are kept whole; an empty table gives an empty result.
 """
 
@@ -35,7 +35,6 @@ LENGTH, GRAM = 100, 20
 SPAN = LENGTH - GRAM + 1
 BLOCK = 2 << 20
 _LOW = np.uint64((1 << 22) - 1)
-LAST = 2**63 - 1
 HOT = 20_000
 
 # place of a run: its first start, number of starts, and distance of the anchor from the first start
@@ -124,7 +123,7 @@ def contents(docs: DataFrame, classes: DataFrame) -> DataFrame:
                         same = r.of(r.prefix(np.frombuffer(data, np.uint8)), start[good], stop[good])
                     else:
                         same = np.array([r.of(r.prefix(np.frombuffer(data[x:y], np.uint8)), np.zeros(1, int), np.array([y - x]))[0] for x, y in zip(start[good].tolist(), stop[good].tolist(), strict=True)], np.uint64)
-                good = good[same.view(np.int64) == name[good]]  # else another row with this doc_id
+                good = good[same.view(np.int64) == name[good]]
                 for i in good.tolist():
                     part = data[start[i] : stop[i]]
                     if hot[i]:
@@ -277,9 +276,19 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(f, "doc_ long, place long")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_, text) with a key doc_ of its own for each row, in the order of doc_id: doc_id itself where it is one, else the row's number in a written table."""
+    rows = columns(docs, "doc_id", "text")
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return rows.select("doc_id", F.col("doc_id").alias("doc_"), "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h_").asc(), F.col("t_").asc()]
+    sorted_ = rows.select("*", F.xxhash64("text").alias("h_"), F.monotonically_increasing_id().alias("t_")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return table(sorted_.select("doc_id", F.monotonically_increasing_id().alias("doc_"), "text"))
+
+
 def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes: start, end)."""
-    rows = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc_"), "text")
+    rows = keyed(docs)
     found = repeated_runs(rows.select("doc_", "text"))
     first = F.min(F.struct("doc_", "place"))
     classes = table(found.groupBy("anchor", "class").agg(first.alias("f")).select("anchor", "class", "f.doc_", "f.place"))

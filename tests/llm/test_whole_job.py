@@ -3,8 +3,11 @@
 import random
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from corvane.llm import near, quality, secrets
+from corvane.llm import near, quality, secrets, substrings
+from tests.llm.test_corpus import removed
 
 
 def test_small_sets_are_linked(spark):
@@ -46,3 +49,19 @@ def test_every_language_is_judged(spark):
     assert all(r["low"] is not None and r["high"] is not None for r in got)
     assert not any(r["kept_"] for r in got if r["doc_id"] in (201, 202, 204, None))
     assert sum(r["kept_"] for r in got) > 115
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_rows_without_ids_are_cut_by_themselves(spark, hot):
+    """Rows that lack a doc_id or repeat one, against brute force over rows in the order of doc_id (none last) and hash."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared, twin = some(60), some(50)
+    rows = [(1, shared), (2, "x " + shared), (7, twin), (7, twin), (7, "other " + shared), (None, twin), (None, twin + " end"), (None, some(80)), (None, some(80) + shared), (None, None), (7, some(40)), (3, some(90)), (-4, twin + shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = sorted(df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    brute = removed([(k, (r["text"] or "").encode()) for k, r in enumerate(known)])
+    want = [(str(r["doc_id"]), *brute[k]) for k, r in enumerate(known)]
+    got = substrings.dedup_substrings(df, hot).collect()
+    assert sorted((str(r[0]), *tuple(r[1:5])) for r in got) == sorted(want)
