@@ -18,9 +18,11 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the session's shared checkpoint folder (a local one only where none is set)."""
+    """A new folder in the session's shared checkpoint folder; one of its own only in local mode, where none need be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corvane/{uuid.uuid4().hex}"

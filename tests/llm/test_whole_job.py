@@ -65,3 +65,64 @@ def test_rows_without_ids_are_cut_by_themselves(spark, hot):
     want = [(str(r["doc_id"]), *brute[k]) for k, r in enumerate(known)]
     got = substrings.dedup_substrings(df, hot).collect()
     assert sorted((str(r[0]), *tuple(r[1:5])) for r in got) == sorted(want)
+
+
+def brute_components(rows, n):
+    """Smallest doc_id reachable by links of 0.8, by comparing all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize(("n", "few"), [(2, 50_000), (5, 200)])
+def test_groups_of_near_copies(spark, monkeypatch, few, n):
+    """Families of one text with edits at random places, families of such copies, and chains, against all pairs."""
+    rng, rows = random.Random(17 + n), []
+    word = lambda: f"w{rng.randrange(400)}"
+
+    def edited(words, k):
+        out = list(words)
+        for _ in range(k):
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice([[word()], [], [out[at], word()], [out[rng.randrange(len(out))]]])
+        return out
+
+    for size in (30, 90):
+        base = [word() for _ in range(size)]
+        families = [edited(base, size // 6) for _ in range(3)] + [base]
+        rows += [edited(rng.choice(families), rng.randrange(0, size // 5)) for _ in range(90)]
+        chain = base[:]
+        for _ in range(12):
+            chain = edited(chain, max(1, size // 30))
+            rows.append(chain)
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    monkeypatch.setattr(near, "PAIRS", few)
+    monkeypatch.setattr(near, "PAIRS_PER_ROW", 0)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n).collect()}
+    assert got == brute_components(rows, n)
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    """Different texts of one doc_id are different documents; each joins the component of its own text."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(9999)}" for _ in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (2, b + " end"), (5, a), (9, a), (7, c), (None, c), (None, "z y x"), (1, None), (1, " ")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted(
+        [("5", "5", True), ("5", "2", False), ("2", "2", True), ("5", "5", True), ("9", "5", False), ("7", "7", True), ("None", "7", False), ("None", "None", True), ("1", "1", True), ("1", "1", True)]
+    )
