@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with all their columns; the last one returns a
 row for each document of the token file. Columns other than doc_id, text, lang and source pass unseen, whatever their names.
-Rows with a null doc_id are judged by their own text, and are never dropped as copies of other documents.
+Rows with a null doc_id are judged by their own text, and are never dropped as copies of other documents; rows that repeat a doc_id
+are judged each by its own text too.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words a shingle, similarity 0.8."""
-    dropped = near.near_duplicates(docs, shingle=5).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = near.keyed_near_duplicates(docs, shingle=5).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d_"), "text_key").distinct()
+    rows, back = set_aside(docs, "doc_id", "text")
+    rows = rows.withColumn("row_key_", F.xxhash64("text"))
+    return rows.join(dropped.hint("shuffle_hash"), (F.col("doc_id") == F.col("d_")) & (F.col("row_key_") == F.col("text_key")), "left_anti").select(*back)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
