@@ -207,12 +207,6 @@ def test_quality_separates_labels(spark):
     assert clean.kept.mean() > 0.95 and junk.kept.mean() < 0.5
 
 
-def test_kneser_ney_sums_to_one(spark):
-    table = spark.createDataFrame([("the cat sat on the mat",), ("the dog sat",), (None,)], "text string")
-    p = np.exp(quality.log_probabilities(quality.kneser_ney(quality.gram_counts(table))).astype(float)).reshape(-1, quality.A)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
 def test_neighbours(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()
     bad = [(9001, None), (9002, [0.0] * 64), (9003, [float("nan")] * 64), (9004, [1.0]), (None, list(rows[0][1])), (9100, list(rows[0][1])), (9101, list(rows[0][1]))]
@@ -261,7 +255,7 @@ def test_awkward_tables(spark, awkward):
         assert decontaminate.decontaminate(table, bench).count() == rows
         assert tokens.read_token_file(tokens.token_file(table)).count() == rows
         assert mixing.mix_sources(mixing.with_size(table.select("doc_id", "source", "text"))).count() == rows
-        assert quality.judged(table.select("doc_id", "lang", "text"), labels).count() == rows
+        assert quality.scores(table, labels).count() == rows
         assert secrets.scan_history(table.withColumnRenamed("doc_id", "path"))[1].count() == rows
         licenses.license_scan(table).count()
     got = {r["doc_id"]: r for r in near.near_duplicates(awkward, 2).collect()}

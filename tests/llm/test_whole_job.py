@@ -45,10 +45,10 @@ def test_every_language_is_judged(spark):
     junk = lambda: "".join(rng.choice("#@%qxz~^0&") for _ in range(300))
     rows = [(i, "en", prose()) for i in range(120)] + [(200, "fr", prose()), (201, "fr", junk()), (202, None, junk()), (203, "de", prose()), (204, "de", junk()), (None, "es", junk())]
     labels = spark.createDataFrame([(i, 1, 0) for i in [*range(120), 200]] + [(201, 0, 0)], "doc_id long, quality int, toxic int")
-    got = quality.judged(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()
-    assert all(r["low"] is not None and r["high"] is not None for r in got)
-    assert not any(r["kept_"] for r in got if r["doc_id"] in (201, 202, 204, None))
-    assert sum(r["kept_"] for r in got) > 115
+    got = quality.scores(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()
+    assert all(r["most_perplexity"] is not None for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] in (201, 202, 204, None))
+    assert sum(r["kept"] for r in got) > 115
 
 
 @pytest.mark.parametrize("hot", [substrings.HOT, 2])
