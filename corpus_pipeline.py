@@ -18,9 +18,9 @@ from corvane.llm.common import read, set_aside, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the perplexity limits of their language."""
+    """Documents inside the limits of their language."""
     rows, back = set_aside(docs, "doc_id", "lang", "text")
-    return quality.judged(rows, read(spark, sf_dir, "labels")).where("kept_").select(*back)
+    return quality.kept_documents(rows, read(spark, sf_dir, "labels")).select(*back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
