@@ -1,9 +1,10 @@
 """Tokenizing whole texts; token files in bit or byte planes; token counts from flat files.
 
-``Encoder`` encodes with the tokenizers library. The vocabulary's pre-tokenizer never lets a token pass from a character that
-is not white space to white space, so a text is cut there and each distinct piece is encoded once for each
-Python worker (two tables of about ``CACHED`` pieces are held). Texts with control characters on whose class regular
-expression libraries differ are encoded in one call.
+``Encoder`` encodes with the tokenizers library. A byte-level pre-tokenizer with its own pattern never lets a token pass from a character that
+is not white space to white space, so a text is cut at its added tokens first, as the library does, and then there, and each distinct piece is
+encoded once for each Python worker (two tables of about ``CACHED`` pieces are held). Texts with control characters on whose class regular
+expression libraries differ are encoded in one call, and so are all texts of any other vocabulary: one with a normalizer, another
+pre-tokenizer or model, or added tokens that take white space along.
 
 Token files (operator 3): ids in ascending doc_id order are cut into blocks of ``BLOCK`` ids; a block's bytes (or bits) are
 transposed into planes, and each plane is compressed with zstandard. A row of the file table is one chunk with its entry of the
@@ -19,6 +20,8 @@ are documents of their own (equal doc_ids in order of a hash of the text), and a
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,8 +46,6 @@ _WORKER: dict[tuple, Encoder] = {}
 
 class Encoder:
     def __init__(self, path: str, specials: bool):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,6 +55,12 @@ class Encoder:
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for t, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(t)  # of a byte-level vocabulary each character stands for a byte
+        plan = json.loads(self.tokenizer.to_str())
+        own = plan["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        added = [t for t in plan["added_tokens"] if specials or not t["special"]]
+        plain = plan["model"]["type"] == "BPE" and not plan["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
+        self.by_piece = own and plan["normalizer"] is None and plain
+        self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")") if added else None
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -64,7 +71,7 @@ class Encoder:
             if (ids := self.older.get(u)) is not None:
                 self.held[u] = ids
             else:
-                (plain if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else others).append(u)
+                (plain if self.by_piece and u[:1] == " " and not u[1:2].isspace() and len(u) > 1 else others).append(u)
         for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.held[u] = np.array(e.ids, self.dtype).tobytes()
         if plain:  # no token passes from one to the next: one text of them has the same ids, told apart by the bytes that each id stands for
@@ -74,12 +81,26 @@ class Encoder:
             for u, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 self.held[u] = raw[size * a : size * b]
 
+    def parts(self, text: str) -> list[str]:
+        """A text cut at its added tokens, these among the parts."""
+        return [p for p in self.added.split(text) if p] if self.added and self.added.search(text) else [text]
+
+    def units(self, text: str) -> list[str]:
+        if not self.by_piece or _ODD.search(text):
+            return [text]
+        parts = self.parts(text)
+        return _UNIT.findall(text) if len(parts) == 1 else [u for p in parts for u in ([p] if self.added.fullmatch(p) else _UNIT.findall(p))]
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The units of a text, some at a time."""
-        if _ODD.search(text):
+        if not self.by_piece or _ODD.search(text):
             yield [text]
-        else:
-            units = (m.group() for m in _UNIT.finditer(text))
+            return
+        for p in self.parts(text):
+            if self.added and self.added.fullmatch(p):
+                yield [p]
+                continue
+            units = (m.group() for m in _UNIT.finditer(p))
             while part := list(islice(units, 1 << 17)):
                 yield part
 
@@ -102,7 +123,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         if sum(len(t or "") for t in texts) < 1 << 21:
-            for raw in self.ids([[t] if _ODD.search(t) else _UNIT.findall(t) for t in (t or "" for t in texts)]):
+            for raw in self.ids([self.units(t or "") for t in texts]):
                 yield np.frombuffer(raw, self.dtype)
             return
         for t in texts:

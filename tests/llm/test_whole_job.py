@@ -126,3 +126,28 @@ def test_texts_that_share_an_id_stay_apart(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted(
         [("5", "5", True), ("5", "2", False), ("2", "2", True), ("5", "5", True), ("9", "5", False), ("7", "7", True), ("None", "7", False), ("None", "None", True), ("1", "1", True), ("1", "1", True)]
     )
+
+
+def test_pieces_encode_as_whole_texts(spark):
+    """Random texts with white space, marks, digits and added tokens have the ids of the whole text, with any vocabulary."""
+    import os
+
+    from corvane.llm import tokens
+
+    rng, path = random.Random(21), tokens.default_vocabulary()
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\n\n", "\t", " ", "a", "The", " of", "'s", "12", "345", "é", "ß", "日本", "\U0001f600", ".", ",", "!!", "<|", "|>", "\x1c", "​", "\r\n", "x<|endoftext|>y"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    for specials in (True, False):
+        e = tokens.Encoder(path, specials)
+        assert e.by_piece
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(texts)] == want
+        assert [[i for p in e.pieces(t) for i in e.ids([p])[0]] for t in texts[:300]] == [[b for i in w for b in i.to_bytes(e.dtype.itemsize, "little")] for w in want[:300]]
+    folder = os.path.dirname(path)
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".json") and os.path.join(folder, name) != path:
+            try:
+                e = tokens.Encoder(os.path.join(folder, name), True)
+            except Exception:  # not a file of the tokenizers library
+                continue
+            assert [x.tolist() for x in e.encode(texts[:500])] == [x.ids for x in e.tokenizer.encode_batch(texts[:500], add_special_tokens=False)]
