@@ -34,10 +34,18 @@ def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files of plans that the driver's JVM no longer holds
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files of plans only once the driver's JVM has collected them
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of written tables that no later step reads."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
