@@ -6,7 +6,7 @@ adds their rows to the ledger, and joins findings back to all versions.
 
 Offsets come from the pieces between matches: a match starts after all pieces and matches before it. They are code
 points of the text, the end not included. Null text counts as empty; null doc_ids, repeated rows and ties keep a row
-each; an empty table gives an empty result.
+each; a very long text is one row of one task; columns other than path and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import columns, read, table
+from corvane.llm.common import columns, read, shared_dir, table
 
 #: kind, pattern, group that must be long enough, its least length. Order breaks ties of start.
 RULES = (
@@ -23,6 +23,7 @@ RULES = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),  # the runs of 16 and more: runs never touch
 )
 RULE_VERSION = "2024-1"
+LEDGER = "blob string, rule_version string, spans array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def _matches(k: int) -> Column:
@@ -49,13 +50,11 @@ def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """``versions``: path and text of every version. Returns the new rows of the ledger, written, and the findings (path, blob, spans) of all versions."""
     rows = columns(versions, "path", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2("text", 256))
-    unseen = rows
+    texts = rows.groupBy("blob").agg(F.first("text").alias("text"))  # rows that repeat path and text are one blob too
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version)
-        one = rows.groupBy("blob").agg(F.min("path").alias("p_")).withColumnRenamed("blob", "b_")
-        one = one.join(seen.select(F.col("blob").alias("b_")).distinct(), "b_", "left_anti")
-        unseen = rows.join(one.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p_")) & (F.col("blob") == F.col("b_")), "left_semi")
-    texts = unseen.groupBy("blob").agg(F.first("text").alias("text"))  # rows that repeat path and text are one blob too
+        seen = ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+        unseen = rows.select("blob").distinct().join(seen.select(F.col("blob").alias("b_")), F.col("blob") == F.col("b_"), "left_anti").select(F.col("blob").alias("u_"))
+        texts = rows.join(unseen.hint("shuffle_hash"), F.col("blob") == F.col("u_"), "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
     new = table(scan_blobs(texts, rule_version))
     known = new if ledger is None else new.unionByName(seen)
     known = known.where(F.size("spans") > 0).select(F.col("blob").alias("b_"), "spans")
@@ -63,9 +62,20 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rule_vers
     return new, found.select("path", "blob", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("spans"))
 
 
+def scan_with_ledger(versions: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Findings (path, blob, spans) of all versions by the ledger kept at ``path``: only blobs that it lacks for the rule version are scanned, and their rows are appended. The folder may be missing at first; one writer at a time."""
+    spark = versions.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new, found = scan_history(versions, spark.read.schema(LEDGER).parquet(path) if held else None, rule_version)
+    new.write.mode("append").parquet(path)
+    return found
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the ledger that ``spark.corvane.secrets.ledger`` names; without one, against a new ledger."""
     docs = columns(read(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "path")
-    _, found = scan_history(docs)
+    found = scan_with_ledger(docs, spark.conf.get("spark.corvane.secrets.ledger", None) or shared_dir(spark))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     names = F.array(*[F.lit(r[0]) for r in RULES])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
