@@ -7,8 +7,9 @@ A template of the class that is contained to ``least`` (0.8) shares 0.19 or more
 (64) of one row at least one agrees with probability 1 - 0.81**64, over 0.999998. Windows without any shingle of a
 template can't agree in any band and are left out before the bands are computed. Candidates are verified by exact containment.
 
-Null and empty texts match nothing; null doc_ids and repeated rows keep a row each; without templates or rows nothing
-matches; a template of no words is ignored.
+A text's shingles are searched for places first, place by place; windows are cut from the texts that have some, so that no row carries a whole text but
+the text's own. Null and empty texts match nothing; null doc_ids and repeated rows keep a row each; without templates or rows nothing
+matches; a template of null text or no words is ignored; a very long text is one row (8 bytes a word); columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -66,12 +67,18 @@ def license_scan(docs: DataFrame, notices: DataFrame | None = None, n_bands: int
     known = with_shingles(notices).withColumn("shingles", F.array_distinct("shingles")).where(F.size("shingles") > 0)
     known = known.withColumn("c", F.ceil(F.log2(F.size("shingles"))).cast("int")).withColumnRenamed("shingles", "wanted")
     member = known.select(F.explode("wanted").alias("m_"), F.col("c")).distinct()
-    texts = with_shingles(columns(docs, "doc_id", "text").withColumn("row_", F.xxhash64("text")))
-    hits = texts.select("doc_id", "row_", "shingles", F.posexplode_outer("shingles").alias("at", "h")).join(side(member), F.col("h") == F.col("m_"))
-    step = F.expr("shiftleft(1, c)")
-    k = F.floor(F.col("at") / step).cast("int")
-    windows = hits.select("doc_id", "row_", "c", "shingles", step.alias("step"), F.explode(F.filter(F.array(k, k - 1), lambda x: x >= 0)).alias("k"))
-    windows = windows.groupBy("doc_id", "row_", "c", "k").agg(F.first(F.array_distinct(F.slice("shingles", F.col("k") * F.col("step") + 1, 2 * F.col("step")))).alias("window"))
+    rows = columns(docs, "doc_id", "text").withColumn("row_", F.xxhash64("text"))
+    hits = with_shingles(rows).select("doc_id", "row_", F.posexplode("shingles").alias("at", "h")).join(side(member), F.col("h") == F.col("m_"))
+    k = F.floor(F.col("at") / F.expr("shiftleft(1, c)")).cast("int")
+    places = hits.select("doc_id", "row_", "c", F.explode(F.filter(F.array(k, k - 1), lambda x: x >= 0)).alias("k"))
+    places = places.groupBy(F.col("doc_id").alias("d_"), F.col("row_").alias("r_")).agg(F.collect_set(F.struct("c", "k")).alias("places"))  # of one text
+    texts = with_shingles(rows.join(places, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("row_").eqNullSafe(F.col("r_"))))
+
+    def cut(p: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), p["c"])
+        return F.struct(p["c"].alias("c"), p["k"].alias("k"), F.array_distinct(F.slice("shingles", p["k"] * step + 1, 2 * step)).alias("window"))
+
+    windows = texts.select("doc_id", "row_", F.explode(F.transform("places", cut)).alias("w")).select("doc_id", "row_", "w.*")
     near = (
         windows.select("doc_id", "row_", "c", "k", "window", F.posexplode(bands("window", n_bands)).alias("band", "value"))
         .join(side(known.select(F.col("c").alias("c_"), "license_id", "wanted", F.posexplode(bands("wanted", n_bands)).alias("b_", "v_"))), (F.col("c") == F.col("c_")) & (F.col("band") == F.col("b_")) & (F.col("value") == F.col("v_")))

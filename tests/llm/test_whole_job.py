@@ -151,3 +151,51 @@ def test_pieces_encode_as_whole_texts(spark):
             except Exception:  # not a file of the tokenizers library
                 continue
             assert [x.tolist() for x in e.encode(texts[:500])] == [x.ids for x in e.tokenizer.encode_batch(texts[:500], add_special_tokens=False)]
+
+
+def test_ledger_is_kept(spark, tmp_path, monkeypatch):
+    """A second run scans only new blobs; another rule version scans all again; findings reach all paths."""
+    path, scanned, scan = f"{tmp_path}/ledger", [], secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, version: scanned.append(blobs.count()) or scan(blobs, version))
+    versions = lambda rows: spark.createDataFrame(rows, "path string, text string, blob int")
+    a, b = ("x", "token=abcdefghijkl0", 1), ("y", "nothing", 2)
+    spans = lambda df: sorted((str(r["path"]), len(r["spans"])) for r in df.collect())
+    first = [("x", 1), ("x", 1), ("y", 0)]
+    assert spans(secrets.scan_with_ledger(versions([a, a, b]), path)) == first
+    assert spans(secrets.scan_with_ledger(versions([a, a, b]), path)) == first
+    assert spans(secrets.scan_with_ledger(versions([a, b, ("z", a[1], 0), (None, "AKIA" + "B" * 16, 0)]), path)) == [("None", 1), ("x", 1), ("y", 0), ("z", 1)]
+    assert spans(secrets.scan_with_ledger(versions([a]), path, "next")) == [("x", 1)]
+    assert scanned == [2, 0, 1, 1]
+
+
+def test_licenses_against_all_templates(spark):
+    """Containment of every template in every window, by sets, for texts that hold templates whole, edited and in part."""
+    import re
+
+    from corvane.llm import licenses
+
+    rng, rows = random.Random(6), []
+    words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    some = lambda n: " ".join(rng.choice("alpha beta gamma delta omega licensed under the this work is".split()) for _ in range(n))
+    for k in range(240):
+        parts = [some(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 2) * rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "changed"
+            parts += [" ".join(w[: rng.choice([len(w), len(w), max(1, len(w) - 2), len(w) // 2])]), some(rng.randint(0, 30))]
+        rows.append((k, " ".join(parts)))
+    rows += [(500, None), (501, ""), (502, "one two"), (None, licenses.TEMPLATES[8][1]), (3, rows[4][1])]
+    sh = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    want = set()
+    for i, t in rows:
+        text = sh(words(t or ""))
+        for name, notice in licenses.TEMPLATES:
+            wanted = set(sh(words(notice)))
+            step = 1 << (len(wanted) - 1).bit_length()
+            for a in range(0, len(text), step):
+                held = len(wanted & set(text[a : a + 2 * step])) / len(wanted)
+                if held >= 0.8:
+                    want.add((str(i), name, a, round(held, 9)))
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(str(r["doc_id"]), r["license_id"], r["window"], round(r["containment"], 9)) for r in got} == want and len(want) > 100
