@@ -25,9 +25,21 @@ def retrieval_cases(chunks: DataFrame, most: int | None = None) -> DataFrame:
 def ranking_metrics(cases: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
     """(case_id, category, recall, mrr, ndcg) of cases (case_id, category, relevant) and predictions (case_id, id, rank)."""
     hits = predicted.where(F.col("rank") <= k).join(cases.select("case_id", "relevant"), "case_id").where(F.array_contains("relevant", F.col("id")))
+    return _metrics(cases.withColumn("n_relevant", F.size("relevant")), hits, k)
+
+
+def class_metrics(cases: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
+    """The same where relevant is what shares the case's class: cases (case_id, category, class, n_relevant), predictions (case_id, id, rank, class). No list of relevant ids is built."""
+    own = cases.select("case_id", F.col("class").alias("own_"))
+    hits = predicted.where(F.col("rank") <= k).join(own, "case_id").where(F.col("class") == F.col("own_"))
+    return _metrics(cases, hits, k)
+
+
+def _metrics(cases: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     by = hits.groupBy("case_id").agg(F.countDistinct("id").alias("hits"), F.min("rank").alias("first"), F.sum(F.lit(1.0) / F.log2(F.col("rank") + 1)).alias("dcg"))
-    n = F.size("relevant")
-    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1))), lambda i: F.lit(1.0) / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
+    n = F.col("n_relevant")
+    count = F.greatest(F.least(n, F.lit(k)), F.lit(1)).cast("int")
+    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), count), lambda i: F.lit(1.0) / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
     zero = lambda c: F.round(F.coalesce(F.when(n > 0, c), F.lit(0.0)), 4)
     return cases.join(by, "case_id", "left").select("case_id", "category", zero(F.col("hits") / n).alias("recall"), zero(F.lit(1.0) / F.col("first")).alias("mrr"), zero(F.col("dcg") / ideal).alias("ndcg"))
 

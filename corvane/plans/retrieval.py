@@ -113,7 +113,8 @@ def retry_union(spark: SparkSession, d: str) -> DataFrame:
     again = retrieve.sparse_overlap(forms.select((F.col("query_id") * 3 + F.col("form")).alias("query_id"), "query"), docs, SETTINGS.retry_n)
     again = retrieve.merge_queries(again.select(F.floor(F.col("query_id") / 3).cast("long").alias("query_id"), F.pmod("query_id", F.lit(3)).alias("form"), "doc_id", "score", "rank"), K)
     kept = ranked.select("query_id", "doc_id", "score", "rank").join(failed, "query_id", "left_anti").withColumn("retried", F.lit(False))
-    return kept.unionByName(again.withColumn("retried", F.lit(True))).withColumn("score", F.round("score", 6))
+    again = again.withColumn("retried", F.lit(True)).repartition("query_id", "doc_id")  # a union of sides that are dealt alike fails where adaptive execution deals one anew
+    return kept.unionByName(again).withColumn("score", F.round("score", 6))
 
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:

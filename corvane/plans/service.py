@@ -133,22 +133,23 @@ def eval_cases(spark: SparkSession, d: str) -> DataFrame:
     return _cases(spark, d).select("case_id", "chunk_id", F.md5("query").alias("h"), "category", F.size("relevant").cast("long").alias("n_relevant"), F.md5(F.array_join("relevant", ",")).alias("relevant"))
 
 
-def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Each document asks with its first 32 characters; relevant are documents of equal content. The answer is the sparse channel's."""
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose id is divisible by 20 ask all documents with their first 32 characters; relevant are documents of equal content. The answer is the sparse channel's."""
     docs = corpus(read(spark, d, "documents"))
-    same = docs.groupBy("text").agg(F.collect_list("doc_id").alias("relevant"))
-    cases = docs.join(same, "text").select(F.col("doc_id").alias("case_id"), F.col("topic").alias("category"), "relevant", F.substring("text", 1, 32).alias("query"))
-    found = retrieve.sparse_overlap(cases.select(F.col("case_id").alias("query_id"), "query"), docs, 5).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"), "rank")
-    return cases, found
+    same = docs.select("doc_id", F.sha2("text", 256).alias("class"))
+    sizes = same.groupBy("class").agg(F.count("*").alias("n_relevant"))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("case_id"), F.col("topic").alias("category"), F.sha2("text", 256).alias("class"), F.substring("text", 1, 32).alias("query"))
+    found = retrieve.sparse_overlap(asked.select(F.col("case_id").alias("query_id"), "query"), docs, 5)
+    found = found.join(same, "doc_id").select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"), "rank", "class")
+    return evaluate.class_metrics(asked.join(sizes, "class"), found, 5)
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.ranking_metrics(*_judged(spark, d), 5)
+    return _judged(spark, d)
 
 
 def bucket_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = evaluate.ranking_metrics(*_judged(spark, d), 5).withColumn("latency_ms", F.pmod("case_id", F.lit(97)).cast("double"))
-    return evaluate.summarize(rows, "category", digits=7)
+    return evaluate.summarize(_judged(spark, d).withColumn("latency_ms", F.pmod("case_id", F.lit(97)).cast("double")), "category", digits=7)
 
 
 def ablation_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -236,9 +237,9 @@ _OUT = list(c.INJECTIONS)
 _SAN = "coalesce(html, '')"
 for _p, _r in _OUT:
     _SAN = f"regexp_replace({_SAN}, '{_p}', '{_r}', 'g')"
-_JUDGED = f"""WITH {plans.CORPUS_SQL}, q AS (SELECT doc_id AS query_id, substr(text, 1, 32) AS query FROM corpus), tok AS (SELECT doc_id, regexp_extract_all(lower(text), '{plans.TOKEN}', 1) AS t FROM corpus),
+_JUDGED = f"""WITH {plans.CORPUS_SQL}, q AS (SELECT doc_id AS query_id, substr(text, 1, 32) AS query FROM corpus WHERE doc_id % 20 = 0), tok AS (SELECT doc_id, regexp_extract_all(lower(text), '{plans.TOKEN}', 1) AS t FROM corpus),
 post AS (SELECT doc_id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM tok) GROUP BY ALL), {plans._sparse("sp", "q", 5)},
-cs AS (SELECT c.doc_id AS case_id, c.topic AS category, count(*) AS n FROM corpus c JOIN corpus o ON c.text = o.text GROUP BY ALL),
+cs AS (SELECT c.doc_id AS case_id, c.topic AS category, count(*) AS n FROM corpus c JOIN corpus o ON c.text = o.text WHERE c.doc_id % 20 = 0 GROUP BY ALL),
 hit AS (SELECT query_id AS case_id, rank FROM sp JOIN corpus c ON c.doc_id = query_id JOIN corpus o ON o.doc_id = sp.doc_id WHERE c.text = o.text),
 by_case AS (SELECT case_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM hit GROUP BY ALL),
 m AS (SELECT case_id, category, round(coalesce(hits / n::DOUBLE, 0), 4) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 4) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg FROM cs LEFT JOIN by_case USING (case_id))"""
