@@ -193,9 +193,9 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _meetings(tried: DataFrame, named: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Keys of the next round: (key, node, held, asks, d, size, room), from members of hubs that are in several components.
+    """Keys of the next round: (key, node, held, asks, d, size, room, before), from members of hubs that are in several components.
 
-    ``room``: differences of the node from here on in the order of the rarest, those left out that no other member has.
+    ``room``: differences of the node from here on in the order of the rarest, those left out that no other member has. ``before``: those before.
     ``asks``: the node is not linked with the hub. ``held``: the difference is among the rarest of the node, as many as the docstring above says.
     """
     num, den = share
@@ -212,9 +212,9 @@ def _meetings(tried: DataFrame, named: DataFrame, share: tuple[int, int]) -> Dat
     held = F.col("d") - F.floor((F.col("d") * whole + (F.col("nu") - F.col("nv")) * part) / (2 * whole)) - alone
     asks = F.when(~F.col("linked"), F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") * whole - (F.col("nu") + F.col("nv")) * part) / (2 * whole))) + 1 - alone).otherwise(0)
     wide = kept.select("u", "v", "es", "d", "nv", held.alias("held"), asks.alias("asks")).where("greatest(held, asks) > 0")
-    each = wide.select("u", "v", "held", "asks", "d", "nv", F.size("es").alias("k"), F.posexplode(F.slice("es", F.lit(1), F.greatest("held", "asks").cast("int"))).alias("i", "s"))
+    each = wide.select("u", "v", "es", "held", "asks", "d", "nv", F.size("es").alias("k"), F.posexplode(F.slice("es", F.lit(1), F.greatest("held", "asks").cast("int"))).alias("i", "s"))
     flags = (F.col("i") < F.col("held")).alias("held"), (F.col("i") < F.col("asks")).alias("asks")
-    return each.select(F.xxhash64("u", "s.e").alias("key"), F.col("v").alias("node"), *flags, "d", F.col("nv").alias("size"), (F.col("k") - F.col("i")).cast("long").alias("room"))
+    return each.select(F.xxhash64("u", "s.e").alias("key"), F.col("v").alias("node"), *flags, "d", F.col("nv").alias("size"), (F.col("k") - F.col("i")).cast("long").alias("room"), F.transform(F.slice("es", F.lit(1), F.col("i")), lambda x: x["e"]).alias("before"))
 
 
 def _open_keys(members: DataFrame, named: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, share: tuple[int, int]) -
         state = judged.join(tried.select(F.col("u").alias("u_"), F.col("v").alias("v_"), "linked"), (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")), "left").select(F.col("u").alias("u_"), F.col("v").alias("v_"), "near", "linked")
         apart = stars.join(state, (F.col("u") == F.col("u_")) & (F.col("node") == F.col("v_"))).where("linked IS NULL OR NOT linked")
         far = apart.where("NOT near").select(F.col("key").alias("k_")).distinct()
-        apart = apart.join(far, F.col("key") == F.col("k_"), "left_semi").select("key", "node", "held", "asks", *[F.lit(x).cast("long").alias(c) for c, x in (("d", 0), ("size", 0), ("room", 1))])
+        apart = apart.join(far, F.col("key") == F.col("k_"), "left_semi").select("key", "node", "held", "asks", *[F.lit(x).cast("long").alias(c) for c, x in (("d", 0), ("size", 0), ("room", 1))], F.array().cast("array<bigint>").alias("before"))
         rows = table(_open_keys(_meetings(tried, named, share).unionByName(apart), named))
         counts = rows.groupBy("key").agg(F.sum(F.col("held").cast("long")).alias("h"), F.sum(F.col("asks").cast("long")).alias("a"))
         pairs = counts.agg(F.sum(F.col("h").cast("double") * F.col("a"))).first()[0] or 0
@@ -256,7 +256,8 @@ def links(docs: DataFrame, classes: DataFrame, n: int, share: tuple[int, int]) -
             # the first difference that two linked members share leaves both room for as many as they must share
             must = (F.col("a.d") + F.col("b.d")) * (den + num) - (F.col("a.size") + F.col("b.size")) * (den - num)
             room = F.least("a.room", "b.room") * 2 * (den + num)
-            few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (room >= must)).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+            first = ~F.arrays_overlap("a.before", "b.before")  # each pair once for a hub
+            few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (room >= must) & first).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
             last = _differences(_estimated(few, classes, least).where("near"), sets, share).where("linked").select("u", "v")
             return components(table(edges.unionByName(last)))
 
