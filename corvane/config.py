@@ -74,3 +74,17 @@ class Settings:
 
 
 SETTINGS = Settings()
+
+# Words of a user that say how answers should look, the first that occurs counts, and the preference that each stands for.
+STYLE_WORDS = (("简短", "偏好简短回答"), ("简洁", "偏好简短回答"), ("详细", "偏好详细回答"), ("分点", "偏好分点回答"), ("表格", "偏好表格化展示"))
+# Features (id, on by default, needs) and tools (id, kind, timeout in seconds, attempts, longest query, for time-sensitive queries only, audit scope).
+FEATURES = (("rag", True, ()), ("web_search", False, ()), ("skill_exec", False, ()), ("use_saved_skill", False, ("skill_exec",)), ("citation_guard", True, ("rag",)))
+TOOLS = (
+    ("local_rag", "local", 1.2, 1, 200, False, "rag"), ("web_search", "remote", 0.8, 1, 120, True, "web_search"), ("web_read", "remote", 1.0, 1, 240, True, "web_read"),
+    ("skill_exec", "local", 1.0, 1, 200, False, "skill_exec"), ("saved_skill", "local", 1.0, 1, 200, False, "use_saved_skill"),
+)
+# Ablation variants.
+VARIANTS = (
+    "rrf_hybrid_rewrite_off", "rrf_hybrid_rewrite_on", "rrf_hybrid_small2big_off", "rrf_hybrid_small2big_on", "rrf_hybrid_rerank_off", "rrf_hybrid_rerank_on",
+    "bm25_only", "dense_only", "exact_only",
+)

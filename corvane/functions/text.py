@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TOKEN = r"([\x{4e00}-\x{9fff}]|[a-z]+|[0-9]+)"
 YEAR = r"(?<![\p{L}\p{N}_])(20[0-9]{2})(?![\p{L}\p{N}_])"
@@ -74,12 +71,8 @@ def unit(a: Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
 
 
-def _code_points(s: pd.Series) -> pd.Series:
-    return s.fillna("").map(lambda t: int(np.frombuffer(t.encode("utf-32-le"), "<u4").sum(dtype=np.int64)))
-
-
 def code_point_sum(c: Column) -> Column:
-    return F.pandas_udf(_code_points, T.LongType())(c)
+    return F.aggregate(F.split(F.coalesce(c, F.lit("")), ""), F.lit(0).cast("long"), lambda a, x: a + F.ascii(x))
 
 
 def hash_embedding(seed: Column, size: int = 32) -> Column:

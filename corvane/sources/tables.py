@@ -20,8 +20,18 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], "doc_ord long, path string, name string, text string")
     from pyspark.sql import Window
 
-    files = files.where(F.lower("file_name") != "readme.md")
-    return files.select((F.row_number().over(Window.orderBy("file_path")) - 1).cast("long").alias("doc_ord"), F.col("file_path").alias("path"), F.col("file_name").alias("name"), F.col("value").alias("text"))
+    files = files.where(F.lower("file_name") != "readme.md").withColumnRenamed("file_path", "path")
+    places = files.select("path").withColumn("doc_ord", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))  # paths alone in one task
+    return places.join(files, "path").select("doc_ord", "path", F.col("file_name").alias("name"), F.col("value").alias("text"))
+
+
+def markdown_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder of Markdown files as a corpus: doc_id, text, title, topic, publish, effective and expire dates, source_url."""
+    from corvane.operators import ingest
+
+    rows = ingest.header_metadata(markdown(spark, folder))
+    effective, expire = ingest.validity(F.col("source_title"), F.col("topic"), F.col("publish_date"), F.col("text"))
+    return rows.select(F.col("doc_ord").alias("doc_id"), "text", F.lit("").alias("lang"), "topic", F.col("source_title").alias("title"), "publish_date", effective.alias("effective_date"), expire.alias("expire_date"), "source_url")
 
 
 def corpus(docs: DataFrame) -> DataFrame:
