@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane import config as c
 from corvane.functions.text import url_quote
-from corvane.operators import deliver, evaluate, ingest, retrieve, safety, state, understand
+from corvane.operators import answer, deliver, evaluate, gateway, ingest, retrieve, safety, state, understand
 from corvane.plans import retrieval as plans
 from corvane.plans.ingest import _SQ, _STRIP, RULES
 from corvane.sources.tables import corpus, read
@@ -67,7 +67,11 @@ def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
 
 
 def breaker_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="corvane-")
     source = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     rows = source.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("t"), (F.col("event_type") == "error").alias("failed"))
     return streams.run_once(streams.breaker_stream(rows, BREAKER), f"{path.rstrip('/')}/corvane/{uuid.uuid4().hex}")
@@ -100,6 +104,19 @@ def session_store(spark: SparkSession, d: str) -> DataFrame:
     return state.session_last(read(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), F.col("text").alias("value")))
 
 
+def latest_question(spark: SparkSession, d: str) -> DataFrame:
+    return answer.latest_question(read(spark, d, "conversations").withColumnRenamed("conv_id", "session"), "-")
+
+
+#: Words of the test corpus that stand in for those of a user that say how answers should look.
+STYLES = (("tion", "long"), ("en", "short"), ("de", "plain"))
+
+
+def special_preferences(spark: SparkSession, d: str) -> DataFrame:
+    users = _users(spark, d)
+    return users.select("query_id", gateway.special_memory(F.col("query"), STYLES).alias("preference"), F.md5(gateway.long_memory_snippet(F.col("query"), F.col("query"))).alias("snippet"), gateway.preview(F.col("query"), 24).alias("preview"))
+
+
 def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.md5(safety.sanitize(F.col("html"))).alias("h"), F.length(safety.plain_text(F.col("html"))).cast("long").alias("n_plain"))
 
@@ -209,7 +226,7 @@ def sse_reassemble(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        route_intent, rewrite_queries, model_route, feature_closure, circuit_breaker, breaker_stream, prompt_cache, memory_latest, rolling_summary, skill_versions, session_store,
+        route_intent, rewrite_queries, model_route, feature_closure, circuit_breaker, breaker_stream, prompt_cache, memory_latest, rolling_summary, skill_versions, session_store, latest_question, special_preferences,
         sanitize_text, audit_flags, tool_guards, source_dedup, eval_cases, retrieval_metrics, bucket_metrics, ablation_variants, pareto_frontier, answer_metrics, release_gate, label_quality_join, sse_chunks, sse_reassemble,
     )
 }
@@ -282,6 +299,9 @@ SELECT session, arg_max(a, n) AS summary FROM r GROUP BY session""",
  round(least(0.45::DOUBLE + CASE WHEN contains(any_value(w), '->') THEN 0.2 ELSE 0 END + CASE WHEN length(any_value(w)) > 20 THEN 0.2 ELSE 0 END + CASE WHEN contains(any_value(w), '来源') OR contains(any_value(w), '条款') THEN 0.1 ELSE 0 END, 0.99), 4)::DOUBLE AS score FROM s GROUP BY 1, 2),
 v AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS version FROM h)
 SELECT name || '_v' || version AS id, name, version, workflow_hash, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, version DESC) = 1 AS active FROM v""",
+    "latest_question": f"SELECT conv_id AS session, coalesce(nullif({_STRIP.format('x')}, ''), '-') AS query FROM (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS x FROM conversations GROUP BY 1)",
+    "special_preferences": f"""WITH {_USERS} SELECT query_id, CASE WHEN contains(query, 'tion') THEN 'long' WHEN contains(query, 'en') THEN 'short' WHEN contains(query, 'de') THEN 'plain' END AS preference,
+ md5('用户关注：' || substr(query, 1, 80) || '；系统回应摘要：' || substr({_SQ("query")}, 1, 160)) AS snippet, CASE WHEN length({_SQ("query")}) <= 24 THEN {_SQ("query")} ELSE substr({_SQ("query")}, 1, 24) || '...' END AS preview FROM u""",
     "session_store": "SELECT conv_id AS session, arg_max(text, turn) AS value FROM conversations GROUP BY 1",
     "sanitize_text": f"SELECT page_id, md5({_SQ(_SAN)}) AS h, length({_SQ("regexp_replace(regexp_replace(html, '(?is)<(script|style).*?>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")}) AS n_plain FROM pages",
     "audit_flags": f"""SELECT doc_id, CASE WHEN regexp_matches({_SQ("coalesce(text, '')")}, '{c.INPUT_RULES[0][0]}') THEN '{c.INPUT_RULES[0][1]}' WHEN regexp_matches({_SQ("coalesce(text, '')")}, '{c.INPUT_RULES[1][0]}') THEN '{c.INPUT_RULES[1][1]}' ELSE 'ok' END AS input,
