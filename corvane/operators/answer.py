@@ -36,7 +36,7 @@ def answer(
     requests: DataFrame, index: DataFrame, top_k: int | None = None, words: tuple[str, ...] = TIME_WORDS_RETRIEVAL, gate_words: tuple[str, ...] = TIME_WORDS_GATE, s: Settings = SETTINGS,
     reranker: Callable | None = None, table: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """query_id, route, status, reason, retried, sources, blocks. ``table`` writes a result that later stages read more than once (by default nothing is written)."""
+    """query_id, route, status, reason, retried, sources, blocks. ``table`` writes a result that later stages read more than once; give one that writes, as otherwise each stage plans and runs all stages before it again."""
     k = max(1, min(top_k or s.top_k, s.top_k))
     names = {"hints": "array<string>", "fail": "array<string>"}
     asked = requests.select("query_id", "query", *[(F.col(c) if c in requests.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()])

@@ -98,17 +98,24 @@ def test_reranker(spark):
     assert broken.count() == 6 and all(r["degraded"] for r in broken.collect())
 
 
-def test_answers(spark, built):
+def test_answers(spark, built, tmp_path):
     requests = [(1, "  2024 招生公告 学费标准 ", None, None), (2, "住宿费每年多少", ["宿舍"], None), (3, "qqqq zzzz", None, None), (4, "学费", None, ["retrieve"]), (5, None, None, None)]
     asked = spark.createDataFrame(requests, "query_id long, query string, hints array<string>, fail array<string>")
-    kept = lambda df: df.cache()
-    got = {r["query_id"]: r for r in answer.answer(asked, built, top_k=3, words=TIME_WORDS_RETRIEVAL, table=kept).collect()}
+    paths = iter(range(99))
+
+    def kept(df):
+        path = f"{tmp_path}/{next(paths)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    out = answer.answer(asked, built, top_k=3, words=TIME_WORDS_RETRIEVAL, table=kept)
+    got = {r["query_id"]: r for r in out.collect()}
     assert set(got) == {1, 2, 3, 4, 5}
     assert len(got[1]["sources"]) <= 3 and got[1]["blocks"] and got[1]["sources"][0]["title"] == "2024 招生公告"
     assert got[4]["reason"] == "retrieval_error" and got[4]["sources"] is None and got[4]["blocks"] == []
     assert got[3]["status"] == "degraded" and got[3]["retried"]
     facts = spark.createDataFrame([(1, "f1: a", 0.2), (1, "f2: b", 0.9), (1, "f3: c", 0.1)], "query_id long, fact string, score double")
-    more = answer.graph_evidence(answer.answer(asked.where("query_id = 1"), built, top_k=3, table=kept), facts).first()
+    more = answer.graph_evidence(out.where("query_id = 1"), facts).first()
     assert [s["chunk_id"] for s in more["sources"][-2:]] == ["graph-1", "graph-2"] and more["blocks"][-2:] == ["[graph] f2: b", "[graph] f1: a"]
 
 
