@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, licenses, mixing, near, neighbours, quality, secrets, substrings, tokens
+from corvane.llm import decontaminate, divergence, licenses, mixing, near, neighbours, quality, ranking, secrets, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": substrings.op1_substrings,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
     "op10_mix": mixing.op10_mix,
+    "op12_search": ranking.op12_search,
+    "op13_divergence": divergence.op13_divergence,
 }
 
-ORACLES: dict[str, str] = {"op8_secrets": secrets.OP8_SQL, "op10_mix": mixing.OP10_SQL}
+ORACLES: dict[str, str] = {"op8_secrets": secrets.OP8_SQL, "op10_mix": mixing.OP10_SQL, "op12_search": ranking.OP12_SQL, "op13_divergence": divergence.OP13_SQL}
