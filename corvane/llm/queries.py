@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, divergence, licenses, mixing, near, neighbours, quality, ranking, secrets, substrings, tokens
+from corvane.llm import decontaminate, divergence, jaccard, licenses, mixing, near, neighbours, quality, ranking, secrets, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": substrings.op1_substrings,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_licenses": licenses.op9_licenses,
     "op10_mix": mixing.op10_mix,
+    "op11_jaccard": jaccard.op11_jaccard,
     "op12_search": ranking.op12_search,
     "op13_divergence": divergence.op13_divergence,
 }
