@@ -10,7 +10,9 @@ Regions. A member's home is its nearest pivot (a Voronoi region). A member also
 its home: if x is at home in p, and y is within eps of x, then ``d(y, p) <= d(x, p) + eps <= d(x, q) + eps <= d(y, q) + 2 eps`` for y's nearest pivot q. So
 each link between members that are no pivots lies in a region in which one of the two is at home.
 
-Inside a region sets are told by their differences to the pivot: two members x, y in different components, of which y is not linked with the pivot p, are
+Inside a region sets are told by their differences to the pivot: ``|x ^ y| = |D(x) ^ D(y)|`` (symmetric differences). A region of at most ``LEAF`` members is joined from them by one task.
+
+Larger regions are cut further. Two members x, y in different components, of which y is not linked with the pivot p, are
 linked just if ``|D(x)| + |D(y)| - 2 |D(x) & D(y)| <= L (|x| + |y|)``, ``L = (1 - share) / (1 + share)``. As ``|D(y)| > L (|y| + |p|)``, x has to share more than
 ``(|D(x)| + L (|p| - |x|)) / 2`` of its differences. So the rarest ``|D(x)|`` less that number plus one of x hold a difference of y (prefix filter), and
 differences that only one member has drop out of them. Members that meet in such a difference form a key of the next round, which is joined in
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, columns, shingle_hashes, table, utf8, word_hashes
+from corvane.llm.common import chunks, columns, forget, shingle_hashes, table, utf8, word_hashes
 from corvane.llm.components import components
 
 #: Pivots of a key of at least WIDE members; smaller keys have one.
 PIVOTS, WIDE = 3, 64
+#: Members of a region that one task compares all with each other.
+LEAF = 256
 #: Pairs for each node, and for small inputs in all, below which the pairs of the keys are compared directly.
 PAIRS_PER_NODE, PAIRS = 1, 50_000
 
@@ -168,29 +172,68 @@ def _direct(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     return a.join(b, meet).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int], pivots: int = PIVOTS) -> tuple[DataFrame, int]:
+def _leaf_links(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(u, v): links that join the members (u, v, nv, linked, diff, home) of regions of at most LEAF members, as a forest for each region."""
+    num, den = share
+
+    def f(t: pa.Table) -> pa.Table:
+        v, size, linked, home = (t[c].to_numpy(zero_copy_only=False) for c in ("v", "nv", "linked", "home"))
+        diffs = [np.asarray(d.values.to_numpy()) for d in t["diff"]]
+        n, d = len(v), np.array([len(x) for x in diffs])
+        every, at = np.unique(np.concatenate(diffs), return_inverse=True)
+        of = np.repeat(np.arange(n), d)
+        common = np.bincount(at, minlength=len(every)) > 1
+        place = np.cumsum(common) - 1
+        of, at = of[common[at]], place[at[common[at]]]
+        order = np.argsort(at, kind="stable")
+        of, at, shared = of[order], at[order], np.zeros((n, n), np.int64)
+        for lo in range(0, int(common.sum()), 4096):
+            i, j = np.searchsorted(at, (lo, lo + 4096))
+            held = np.zeros((n, min(4096, int(common.sum()) - lo)), np.float32)
+            held[of[i:j], at[i:j] - lo] = 1
+            shared += (held @ held.T).astype(np.int64)
+        near = (d[:, None] + d[None, :] - 2 * shared) * (den + num) <= (size[:, None] + size[None, :]) * (den - num)
+        near &= ~(linked[:, None] & linked[None, :]) & (home[:, None] | home[None, :])
+        root = np.arange(n)
+        root[linked] = np.flatnonzero(linked)[:1] if linked.any() else 0
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            if root[x] != root[y]:
+                out.append((v[x], v[y]))
+                root[root == root[x]] = root[y]
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.select("u", "v", "nv", "linked", "diff", "home").groupBy("u").applyInArrow(f, "u long, v long")
+
+
+def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, leaf: int = LEAF) -> tuple[DataFrame, int]:
     """((node, component) of all nodes that are linked with another, rounds of pivots), from written tables of members (key, node) and sets (node, set)."""
     eps, none = 1 - share[0] / share[1], F.array().cast("array<bigint>")
     zero = lambda c, x=0: F.lit(x).cast("long").alias(c)
     yes = [F.lit(True).alias(c) for c in ("held", "asks", "home")]
     sizes = sets.select(F.col("node").alias("s_"), (F.octet_length("set") / 8).cast("long").alias("size"))
     rows = members.select("key", "node", F.col("node").alias("c"), *yes, zero("d"), zero("room", 1), none.alias("before")).join(sizes, F.col("node") == F.col("s_")).drop("s_")
-    total, edges, turn = sets.count(), None, 0
+    total, edges, turn = sets.count(), sets.sparkSession.createDataFrame([], "u long, v long"), 0
     while True:
         counts = rows.groupBy("key").agg(F.sum(F.col("held").cast("long")).alias("h"), F.sum(F.col("asks").cast("long")).alias("a"))
         pairs = counts.agg(F.sum(F.col("h").cast("double") * F.col("a"))).first()[0] or 0
         if pairs <= PAIRS_PER_NODE * total + PAIRS:
             last = _differences(_direct(rows, share), sets, share).where("linked").select("u", "v")
-            if edges is None or pairs:
-                edges = table(last if edges is None else edges.unionByName(last))
-            return components(edges), turn
+            return components(table(edges.unionByName(last)) if pairs else edges), turn
         turn += 1
         stars = table(_stars(rows, pivots))
         tried = table(_differences(stars.select("u", F.col("node").alias("v")).distinct(), sets, share))
-        more = tried.where("linked").select("u", "v")
-        edges = table(more if edges is None else edges.unionByName(more).distinct())
-        found = components(edges).withColumnRenamed("node", "n_")
         regions = _regions(stars, tried, eps).withColumnRenamed("u", "u_").withColumnRenamed("v", "v_")
-        inside = tried.join(regions, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_"))).drop("u_", "v_")
-        inside = inside.join(found, F.col("v") == F.col("n_"), "left").withColumn("c", F.coalesce("component", "v")).drop("n_", "component")
-        rows = table(_open(_meetings(table(inside), share)))
+        inside = table(tried.join(regions, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_"))).drop("u_", "v_"))
+        wide = inside.groupBy("u").agg(F.count("*").alias("n_"), F.min("linked").alias("all_"), F.max("home").alias("any_")).where("n_ > 1 AND NOT all_ AND any_").select(F.col("u").alias("w_"), (F.col("n_") > leaf).alias("wide"))
+        inner = inside.join(wide, F.col("u") == F.col("w_")).drop("w_")
+        found = _leaf_links(inner.where("NOT wide"), share)
+        edges = table(edges.unionByName(tried.where("linked").select("u", "v")).unionByName(found))
+        large = inner.where("wide")
+        if not large.head(1):
+            forget(stars, tried, inside)
+            return components(edges), turn
+        named = components(edges).withColumnRenamed("node", "n_")
+        large = large.join(named, F.col("v") == F.col("n_"), "left").withColumn("c", F.coalesce("component", "v")).drop("n_", "component", "wide")
+        before, rows = rows, table(_open(_meetings(large, share)))
+        forget(stars, tried, inside, *([before] if turn > 1 else []))
