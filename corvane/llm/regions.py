@@ -35,7 +35,7 @@ from corvane.llm.components import components
 #: Pivots of a key of at least WIDE members; smaller keys have one.
 PIVOTS, WIDE = 3, 64
 #: Members of a region that one task compares all with each other.
-LEAF = 256
+LEAF = 4096
 #: Pairs for each node, and for small inputs in all, below which the pairs of the keys are compared directly.
 PAIRS_PER_NODE, PAIRS = 1, 50_000
 
@@ -84,7 +84,7 @@ def members_of(rows: DataFrame, classes_: DataFrame, found: DataFrame) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_key")
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def differences(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """u, v, their set sizes, whether they are linked, and the hashes that only one of the two full sets holds."""
     num, den = share
 
@@ -185,44 +185,49 @@ def _leaf_links(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
         common = np.bincount(at, minlength=len(every)) > 1
         place = np.cumsum(common) - 1
         of, at = of[common[at]], place[at[common[at]]]
-        order = np.argsort(at, kind="stable")
-        of, at, shared = of[order], at[order], np.zeros((n, n), np.int64)
-        for lo in range(0, int(common.sum()), 4096):
-            i, j = np.searchsorted(at, (lo, lo + 4096))
-            held = np.zeros((n, min(4096, int(common.sum()) - lo)), np.float32)
+        order, total = np.argsort(at, kind="stable"), int(common.sum())
+        of, at, shared = of[order], at[order], np.zeros((n, n), np.int32)
+        for lo in range(0, total, 2048):
+            i, j = np.searchsorted(at, (lo, lo + 2048))
+            held = np.zeros((n, min(2048, total - lo)), np.float32)
             held[of[i:j], at[i:j] - lo] = 1
-            shared += (held @ held.T).astype(np.int64)
-        near = (d[:, None] + d[None, :] - 2 * shared) * (den + num) <= (size[:, None] + size[None, :]) * (den - num)
-        near &= ~(linked[:, None] & linked[None, :]) & (home[:, None] | home[None, :])
-        root = np.arange(n)
-        root[linked] = np.flatnonzero(linked)[:1] if linked.any() else 0
-        out = []
-        for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            if root[x] != root[y]:
-                out.append((v[x], v[y]))
-                root[root == root[x]] = root[y]
+            for x in range(0, n, 512):
+                shared[x : x + 512] += (held[x : x + 512] @ held.T).astype(np.int32)
+        near = np.zeros((n, n), bool)
+        for x in range(0, n, 512):
+            y = slice(x, x + 512)
+            near[y] = (d[y, None] + d[None, :] - 2 * shared[y]) * (den + num) <= (size[y, None] + size[None, :]) * (den - num)
+            near[y] &= ~(linked[y, None] & linked[None, :]) & (home[y, None] | home[None, :])
+        free, out = np.ones(n, bool), []
+        for first in range(n):
+            front = np.array([first]) if free[first] else []
+            while len(front):
+                free[front] = False
+                front = np.flatnonzero(near[front].any(axis=0) & free)
+                out += [(v[first], v[x]) for x in front.tolist()]
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return rows.select("u", "v", "nv", "linked", "diff", "home").groupBy("u").applyInArrow(f, "u long, v long")
 
 
-def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, leaf: int = LEAF) -> tuple[DataFrame, int]:
-    """((node, component) of all nodes that are linked with another, rounds of pivots), from written tables of members (key, node) and sets (node, set)."""
+def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, leaf: int = LEAF, edges: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """((node, component) of all nodes that are linked with another, rounds of pivots), from written tables of members (key, node) and sets (node, set), and links (u, v) that are known."""
     eps, none = 1 - share[0] / share[1], F.array().cast("array<bigint>")
     zero = lambda c, x=0: F.lit(x).cast("long").alias(c)
     yes = [F.lit(True).alias(c) for c in ("held", "asks", "home")]
     sizes = sets.select(F.col("node").alias("s_"), (F.octet_length("set") / 8).cast("long").alias("size"))
     rows = members.select("key", "node", F.col("node").alias("c"), *yes, zero("d"), zero("room", 1), none.alias("before")).join(sizes, F.col("node") == F.col("s_")).drop("s_")
-    total, edges, turn = sets.count(), sets.sparkSession.createDataFrame([], "u long, v long"), 0
+    total, turn = sets.count(), 0
+    edges = sets.sparkSession.createDataFrame([], "u long, v long") if edges is None else edges
     while True:
         counts = rows.groupBy("key").agg(F.sum(F.col("held").cast("long")).alias("h"), F.sum(F.col("asks").cast("long")).alias("a"))
         pairs = counts.agg(F.sum(F.col("h").cast("double") * F.col("a"))).first()[0] or 0
         if pairs <= PAIRS_PER_NODE * total + PAIRS:
-            last = _differences(_direct(rows, share), sets, share).where("linked").select("u", "v")
+            last = differences(_direct(rows, share), sets, share).where("linked").select("u", "v")
             return components(table(edges.unionByName(last)) if pairs else edges), turn
         turn += 1
         stars = table(_stars(rows, pivots))
-        tried = table(_differences(stars.select("u", F.col("node").alias("v")).distinct(), sets, share))
+        tried = table(differences(stars.select("u", F.col("node").alias("v")).distinct(), sets, share))
         regions = _regions(stars, tried, eps).withColumnRenamed("u", "u_").withColumnRenamed("v", "v_")
         inside = table(tried.join(regions, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_"))).drop("u_", "v_"))
         wide = inside.groupBy("u").agg(F.count("*").alias("n_"), F.min("linked").alias("all_"), F.max("home").alias("any_")).where("n_ > 1 AND NOT all_ AND any_").select(F.col("u").alias("w_"), (F.col("n_") > leaf).alias("wide"))
