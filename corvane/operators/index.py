@@ -7,17 +7,19 @@ auxiliary queries, metadata, embedding. Retrieval functions know a chunk by ``or
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.config import EXPANSION_RULES, SETTINGS, TIME_WORDS_RETRIEVAL, Settings
 from corvane.functions.text import YEAR, code_point_sum, hash_embedding, tokens
 from corvane.operators import ingest, retrieve
+from corvane.sources.shared import written
 
 #: Texts that an embedding provider gets at a time.
 EMBED_BATCH = 16
@@ -58,34 +60,69 @@ def embedded(rows: DataFrame, text: str, provider: Callable[[list[str]], list[li
                         out.append((v / (np.linalg.norm(v) or 1.0)).tolist())
                 yield pd.Series(out, index=part.index, dtype=object)
 
-        asked = rows.withColumn("embedding", remote(text)).withColumn("embedding_source", F.lit("provider"))
-        try:
-            asked.agg(F.count_if(F.size("embedding") >= 0)).first()  # one pass decides for all texts
-            return asked
-        except Exception:  # noqa: BLE001  whatever a provider raises
-            pass
+        try:  # one pass asks for all texts and decides for all of them
+            return written(rows.withColumn("embedding", remote(text)).withColumn("embedding_source", F.lit("provider")))
+        except Exception as e:  # noqa: BLE001  whatever a provider raises; faults of Spark's own go up
+            if "PythonException" not in f"{type(e).__name__} {e}" and "Traceback" not in str(e):
+                raise
     return rows.withColumn("embedding", local_embedding(F.col(text))).withColumn("embedding_source", F.lit("local"))
 
 
+def _versions(spark: SparkSession, path: str) -> list:
+    try:
+        return sorted(spark.read.schema("version long, folder string, chunks long").parquet(f"{path}/manifest").collect())
+    except AnalysisException:
+        return []
+
+
 def build(corpus: DataFrame, path: str, provider: Callable | None = None, s: Settings = SETTINGS, rules: tuple = EXPANSION_RULES) -> dict:
-    """Writes the index of a corpus in place of what ``path`` holds: status, chunks, seconds."""
-    began = time.time()
-    rows = embedded(chunk_rows(corpus, s, rules), "page_content", provider)
-    rows.write.mode("overwrite").parquet(path)
-    return {"status": "ok", "chunk_count": corpus.sparkSession.read.parquet(path).count(), "seconds": round(time.time() - began, 3)}
+    """Writes a new version of the index of a corpus and names it in the manifest, in one step, once it is whole: status, chunks, chunks whose text was embedded anew, seconds.
+
+    Vectors of texts (by hash of the page content) that the version before has from the same kind of source are taken over; a provider is asked for the others only. Readers
+    keep the version that they have loaded."""
+    began, spark = time.time(), corpus.sparkSession
+    rows = chunk_rows(corpus, s, rules).withColumn("content_key", F.sha2(F.coalesce("page_content", F.lit("")), 256))
+    held, kind = load(spark, path), "local" if provider is None else "provider"
+    if held is not None and "content_key" in held.columns:
+        known = held.where(F.col("embedding_source") == kind).groupBy(F.col("content_key").alias("key_")).agg(F.first("embedding").alias("embedding"))
+        rows = written(rows.join(known, F.col("content_key") == F.col("key_"), "left").drop("key_"))
+        new = rows.where("embedding IS NULL").select("content_key", "page_content").dropDuplicates(["content_key"])
+    else:
+        rows = written(rows.withColumn("embedding", F.lit(None).cast("array<double>")))
+        new = rows.select("content_key", "page_content").dropDuplicates(["content_key"])
+    made = written(embedded(new, "page_content", provider))
+    got, asked = made.select("embedding_source").distinct().collect(), made.count()
+    if provider is not None and got and got[0][0] == "local":  # the provider failed: all vectors are of one kind
+        rows, kind = rows.withColumn("embedding", local_embedding(F.col("page_content"))), "local"
+    else:
+        vectors = made.select(F.col("content_key").alias("key_"), F.col("embedding").alias("made_"))
+        rows = rows.join(vectors, F.col("content_key") == F.col("key_"), "left").withColumn("embedding", F.coalesce("embedding", "made_")).drop("key_", "made_")
+    folder = f"{path}/versions/{uuid.uuid4().hex}"
+    rows.withColumn("embedding_source", F.lit(kind)).write.parquet(folder)
+    count, before = spark.read.parquet(folder).count(), _versions(spark, path)
+    version = before[-1]["version"] + 1 if before else 1
+    spark.createDataFrame([(version, folder, count)], "version long, folder string, chunks long").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return {"status": "ok", "version": version, "chunk_count": count, "embedded": asked, "seconds": round(time.time() - began, 3)}
 
 
 reindex = build
 
 
-def load(spark: SparkSession, path: str) -> DataFrame | None:
-    """The index at ``path``, or nothing if it can't be read or lacks a column."""
+def opened(spark: SparkSession, path: str) -> tuple[DataFrame | None, str]:
+    """The newest version of the index at ``path``, or nothing and why: ``missing``, or what reading it raised (a damaged file too: one column is read through)."""
+    versions = _versions(spark, path)
+    if not versions:
+        return None, "missing"
     try:
-        rows = spark.read.parquet(path)
-        rows.select("ord", "chunk_id", "embedding", "sparse_view").schema
-        return rows
-    except AnalysisException:
-        return None
+        rows = spark.read.parquet(versions[-1]["folder"])
+        found = rows.select("ord", "chunk_id", "embedding", "sparse_view").agg(F.count("chunk_id"), F.count_if(F.size("embedding") > 0)).first()[0]
+        return (rows, "") if found == versions[-1]["chunks"] else (None, f"{found} of {versions[-1]['chunks']} chunks")
+    except Exception as e:  # noqa: BLE001  an index that can't be read is none; the reason goes to the caller
+        return None, type(e).__name__
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    return opened(spark, path)[0]
 
 
 def load_or_build(corpus: DataFrame, path: str, **kw) -> DataFrame:
@@ -109,11 +146,6 @@ def whitespace(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 
 
-def relevance(distance: Column) -> Column:
-    """1 / (1 + distance), distances below 0 as 0."""
-    return F.lit(1.0) / (1 + F.greatest(distance, F.lit(0.0)))
-
-
 def dense(queries: DataFrame, index: DataFrame, n: int, provider: Callable | None = None) -> DataFrame:
     """Cosine of the queries' embeddings with those of the index."""
     asked = embedded(queries, "query", provider).select("query_id", "embedding")
@@ -124,34 +156,43 @@ def dense(queries: DataFrame, index: DataFrame, n: int, provider: Callable | Non
 def hybrid(queries: DataFrame, index: DataFrame, words: tuple[str, ...] = TIME_WORDS_RETRIEVAL, s: Settings = SETTINGS, cut: Callable[[Column], Column] = tokens, provider: Callable | None = None, channels: tuple[str, ...] = ("sparse", "dense", "exact")) -> DataFrame:
     """(query_id, ord, score, rank) of queries (query_id, query; optional depth and focus, parents that the query is about).
 
-    BM25 over the sparse view, dense and exact channels of the query's depth, fused; sorted by fusion and temporal bonus, then the later date. Chunks of a year that
-    the query names go before others, else, for queries that depend on time, those that hold on the day (each part in its order). Cut to the depth. The score adds the
+    BM25 over the sparse view, dense and exact channels of the query's depth, fused; sorted by fusion and temporal bonus, then the later date. Among equals chunks of a year that
+    the query names go before others, else, for queries that depend on time, those that hold on the day; then the channels' order. Cut to the depth. The score adds the
     bonus for chunks of a parent in focus, and takes a little from summaries outside."""
     extra = {"depth": F.lit(s.top_n), "focus": F.array().cast("array<string>")}
     asked = queries.select("query_id", "query", *[F.col(c) if c in queries.columns else v.alias(c) for c, v in extra.items()])
     most = asked.agg(F.max("depth")).first()[0] or s.top_n
+    return fused(asked.withColumn("of", F.col("query_id")), index, channel_rows(asked, index, most, cut, provider, channels), words, s)
+
+
+def channel_rows(queries: DataFrame, index: DataFrame, n: int, cut: Callable[[Column], Column] = tokens, provider: Callable | None = None, channels: tuple[str, ...] = ("sparse", "dense", "exact")) -> dict[str, DataFrame]:
+    """(query_id, doc_id: the chunk's ord, score, rank) of the n best chunks of each query by channel."""
     sparse, exact = views(index)
     made = {
-        "sparse": lambda: retrieve.bm25(asked, sparse, most, cut=cut).where("doc_id >= 0"),
-        "dense": lambda: dense(asked, index, most, provider),
-        "exact": lambda: retrieve.exact(asked, exact, most),
+        "sparse": lambda: retrieve.bm25(queries, sparse, n, cut=cut).where("doc_id >= 0"),
+        "dense": lambda: dense(queries, index, n, provider),
+        "exact": lambda: retrieve.exact(queries, exact, n),
     }
-    deep = asked.select("query_id", "depth")
-    fused = retrieve.fuse({c: made[c]().join(deep, "query_id").where(F.col("rank") <= F.col("depth")) for c in channels}, s)
+    return {c: made[c]().select("query_id", "doc_id", "score", "rank") for c in channels}
+
+
+def fused(asked: DataFrame, index: DataFrame, made: dict[str, DataFrame], words: tuple[str, ...] = TIME_WORDS_RETRIEVAL, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, ord, score, rank) of requests (query_id, of, query, depth, focus) from the channels' rows of the query that each is ``of``: several requests may take one query's rows to different depths."""
+    deep = asked.select("query_id", "of", "depth")
+    own = lambda rows: rows.withColumnRenamed("query_id", "of").join(deep, "of").where(F.col("rank") <= F.col("depth")).drop("of", "depth")
+    found = retrieve.fuse({c: own(rows) for c, rows in made.items()}, s)
     docs = index.select(F.col("ord").alias("doc_id"), "title", "topic", "publish_date", "effective_date", "expire_date", F.col("page_content").alias("text"), "parent_id", "chunk_level")
-    rows = fused.join(docs, "doc_id").join(asked, "query_id")
+    rows = found.join(docs, "doc_id").join(asked.drop("of"), "query_id")
     q = F.col("query")
     rows = rows.withColumn("base", F.round(F.col("rrf") + retrieve.temporal_bonus(q, words, s.as_of), 9))
     years = F.regexp_extract_all(q, F.lit(YEAR), F.lit(1))
     hay = F.concat_ws(" ", "publish_date", "effective_date", "expire_date", "title", "topic", "text")
-    from pyspark.sql import Window
-
     every = Window.partitionBy("query_id")
     rows = rows.withColumn("dated", F.exists(years, lambda y: F.contains(hay, y)))
     holds = retrieve.time_sensitive(q, words) & retrieve.active(F.col("effective_date"), F.col("expire_date"), s.as_of)
     rows = rows.withColumn("first_part", F.when(F.max("dated").over(every), F.col("dated")).otherwise(holds))
-    order = [F.desc("first_part"), F.desc("base"), F.desc("publish_date"), F.col("first.channel"), F.col("first.r")]
-    rows = retrieve.top(rows, most, *order).where(F.col("rank") <= F.col("depth"))
+    order = [F.desc("base"), F.desc("publish_date"), F.desc("first_part"), F.col("first.channel"), F.col("first.r")]
+    rows = rows.withColumn("rank", F.row_number().over(every.orderBy(*order))).where(F.col("rank") <= F.col("depth"))
     score = F.round(F.col("base") + retrieve.focus_bonus(F.col("parent_id"), F.col("chunk_level"), F.col("focus")), 9)
     return rows.select("query_id", F.col("doc_id").alias("ord"), score.alias("score"), "rank")
 

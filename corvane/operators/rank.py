@@ -68,6 +68,13 @@ def quality(ranked: DataFrame, queries: DataFrame, words: tuple[str, ...] = TIME
     return rows.select("query_id", "coverage", F.coalesce("unique_sources", F.lit(0)).alias("unique_sources"), F.coalesce(conflict, F.lit(0)).alias("conflict_count"), F.coalesce("stale_count", F.lit(0)).alias("stale_count"), F.coalesce(reason, F.lit("")).alias("reason"), reason.isNull().alias("passed"))
 
 
+def after_resolving(report: DataFrame, resolved: DataFrame, words: tuple[str, ...] = TIME_WORDS_GATE, s: Settings = SETTINGS) -> DataFrame:
+    """(query_id, reason) of a report on rows that a conflict was resolved to: coverage and age alone, as the conflict is settled."""
+    timely = resolved.groupBy("query_id").agg(F.max(time_sensitive(F.col("query"), words)).alias("timely"), F.count("*").alias("n"))
+    reason = F.when(F.col("coverage") < s.min_coverage, "low_coverage").when(F.col("timely") & (F.col("stale_count") >= F.col("n")), "stale_evidence").otherwise("")
+    return report.join(timely, "query_id").select("query_id", reason.alias("reason"))
+
+
 def citation_guard(ranked: DataFrame, queries: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """no_source, insufficient_sources or low_top_score, in this order."""
     source = F.coalesce(F.nullif("source_url", F.lit("")), F.nullif("title", F.lit("")), F.col("doc_id").cast("string"))

@@ -1,4 +1,4 @@
-"""State by key, in batch: circuit breaker, prompt cache, memory, rolling summary, skills. The folds run over one key's ordered events."""
+"""State by key, in batch: memory, rolling summary, skills. (Breaker and cache are in ``scans``.)"""
 
 from __future__ import annotations
 
@@ -9,46 +9,6 @@ from corvane.config import SETTINGS, Settings
 from corvane.functions.text import squeeze
 
 
-def _folded(events: DataFrame, key: list[str], start: Column, step) -> DataFrame:
-    """One row per key: ``items`` in order, and the state after all of them. The state's ``out`` has a value for each item."""
-    rows = events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "id", "x"))).alias("items"))
-    return rows.withColumn("state", F.aggregate("items", start, step))
-
-
-def circuit_breaker(events: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """(key, id, outcome, failures) of events (key, id, t: seconds, failed): rejected while open; a failure counts and opens from the second on; a success resets; an open time that ends resets nothing."""
-    start = F.struct(F.lit(0).alias("failures"), F.lit(0.0).cast("double").alias("until"), F.array().cast("array<struct<id:bigint,outcome:string,failures:int>>").alias("out"))
-
-    def step(a: Column, e: Column) -> Column:
-        n = F.when(e["x"], a["failures"] + 1).otherwise(F.lit(0))
-        until = F.when(e["x"] & (n >= s.breaker_failures), e["t"] + s.breaker_seconds).when(e["x"], a["until"]).otherwise(F.lit(0.0))
-        shut = a["until"] > e["t"]
-        said = F.when(shut, "rejected").when(e["x"], "failed").otherwise("ok")
-        after = F.when(shut, a["failures"]).otherwise(n)
-        return F.struct(after.cast("int").alias("failures"), F.when(shut, a["until"]).otherwise(until).cast("double").alias("until"), F.array_append(a["out"], F.struct(e["id"].cast("bigint").alias("id"), said.alias("outcome"), after.cast("int").alias("failures"))).alias("out"))
-
-    rows = _folded(events.select("key", "id", F.col("t").cast("double").alias("t"), F.col("failed").alias("x")), ["key"], start, step)
-    return rows.select("key", F.explode("state.out").alias("o")).select("key", "o.*")
-
-
-def breaker_snapshot(events: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    last = Window.partitionBy("key").orderBy(F.desc("t"), F.desc("id"))
-    rows = circuit_breaker(events, s).join(events.select("id", "t"), "id")
-    return rows.withColumn("r", F.row_number().over(last)).where("r = 1").select("key", "failures", "outcome")
-
-
-def prompt_cache(events: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """(key, id, hit) of events (key, id, t): a hit if the last write is no older than the time to live; hits don't renew it."""
-    start = F.struct(F.lit(None).cast("double").alias("written"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
-
-    def step(a: Column, e: Column) -> Column:
-        hit = F.coalesce(e["t"] - a["written"] <= s.cache_seconds, F.lit(False))
-        return F.struct(F.when(hit, a["written"]).otherwise(e["t"]).alias("written"), F.array_append(a["out"], F.struct(e["id"].cast("bigint").alias("id"), hit.alias("hit"))).alias("out"))
-
-    rows = _folded(events.select("key", "id", F.col("t").cast("double").alias("t"), F.lit(True).alias("x")), ["key"], start, step)
-    return rows.select("key", F.explode("state.out").alias("o")).select("key", "o.*")
-
-
 #: Seconds that a kind of memory lasts; a kind that isn't here lasts for good.
 LASTS = {"short": 4 * 3600, "special": 90 * 86400}
 

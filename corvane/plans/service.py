@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import config as c
 from corvane.functions.text import url_quote
-from corvane.operators import answer, deliver, evaluate, gateway, ingest, retrieve, safety, state, understand
+from corvane.operators import ablation, answer, deliver, evaluate, gateway, index, ingest, retrieve, safety, scans, state, understand
 from corvane.plans import retrieval as plans
 from corvane.plans.ingest import _SQ, _STRIP, RULES
+from corvane.sources.shared import written
 from corvane.sources.tables import corpus, read
-from corvane.streaming import state as streams
 
 #: Small talk of the test conversations, which have none of the default words.
 SMALLTALK = ("the ", " de ")
@@ -63,23 +60,12 @@ CACHE = c.Settings(cache_seconds=500_000)
 
 
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
-    return state.circuit_breaker(_events(spark, d), BREAKER)
-
-
-def breaker_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="corvane-")
-    source = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    rows = source.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("t"), (F.col("event_type") == "error").alias("failed"))
-    return streams.run_once(streams.breaker_stream(rows, BREAKER), f"{path.rstrip('/')}/corvane/{uuid.uuid4().hex}")
+    return scans.circuit_breaker(_events(spark, d), BREAKER)
 
 
 def prompt_cache(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    return state.prompt_cache(e.withColumn("key", F.concat_ws("/", "key", "event_type")), CACHE)
+    return scans.prompt_cache(e.withColumn("key", F.concat_ws("/", "key", "event_type")), CACHE)
 
 
 def memory_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -170,24 +156,11 @@ def bucket_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ablation_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of each channel alone and of all fused, for the benchmark's texts; relevant are documents that hold the item whole."""
-    docs, queries = plans._docs(spark, d), plans._queries(spark, d)
-    channels = {"bm25": retrieve.bm25(queries, docs, 12), "exact": retrieve.exact(queries, docs, 12), "sparse": retrieve.sparse_overlap(queries, docs, 12)}
-    fused = retrieve.fuse({"sparse": channels["sparse"], "exact": channels["exact"]})
-    channels["rrf"] = retrieve.top(fused, 12, F.desc("rrf"), F.col("first.channel"), F.col("first.r"))
-    truth = channels["exact"].where("score >= 2.5").groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))
-    cases = truth.select(F.col("query_id").alias("case_id"), F.lit("all").alias("category"), "relevant")
-    out = None
-    for name, rows in channels.items():
-        one = evaluate.summarize(evaluate.ranking_metrics(cases, rows.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"), "rank"), 5)).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as settings: the share of their balance as recall, their name's hash as latency."""
-    rows = read(spark, d, "supplier").select("s_suppkey", F.round(F.col("s_acctbal") / 10000, 4).alias("recall"), F.pmod(F.col("s_suppkey") * 7919, F.lit(997)).cast("double").alias("latency"))
-    return evaluate.pareto(rows)
+    """All nine variants over the index of chunks, for the first 48 cases that it gives (the number of cases is a setting of the ablation)."""
+    chunks = written(index.embedded(index.chunk_rows(corpus(read(spark, d, "documents")), rules=RULES), "page_content"))
+    rows = chunks.select("chunk_id", "chunk_level", "parent_id", "topic", "chunk_text", F.col("queries").alias("query_expansions"), "ord")
+    cases = written(evaluate.retrieval_cases(rows, c.SETTINGS.max_cases))
+    return ablation.ablation(cases, chunks, 5, words=plans.WORDS)
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -226,8 +199,8 @@ def sse_reassemble(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        route_intent, rewrite_queries, model_route, feature_closure, circuit_breaker, breaker_stream, prompt_cache, memory_latest, rolling_summary, skill_versions, session_store, latest_question, special_preferences,
-        sanitize_text, audit_flags, tool_guards, source_dedup, eval_cases, retrieval_metrics, bucket_metrics, ablation_variants, pareto_frontier, answer_metrics, release_gate, label_quality_join, sse_chunks, sse_reassemble,
+        route_intent, rewrite_queries, model_route, feature_closure, circuit_breaker, prompt_cache, memory_latest, rolling_summary, skill_versions, session_store, latest_question, special_preferences,
+        sanitize_text, audit_flags, tool_guards, source_dedup, eval_cases, retrieval_metrics, bucket_metrics, ablation_variants, answer_metrics, release_gate, label_quality_join, sse_chunks, sse_reassemble,
     )
 }
 
@@ -285,7 +258,6 @@ s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 AND NOT list_contains(f, 'cita
 n AS (SELECT event_id, f || list_filter(list_transform(f, lambda x: CASE x WHEN 'use_saved_skill' THEN 'skill_exec' WHEN 'citation_guard' THEN 'rag' END), lambda x: x IS NOT NULL AND NOT list_contains(f, x)) AS f FROM s)
 SELECT event_id, array_to_string(f, ',') AS features, array_to_string(list_filter({list(_ORDER)}, lambda x: list_contains(f, x)), ',') AS planned FROM n""",
     "circuit_breaker": _BREAKER,
-    "breaker_stream": _BREAKER,
     "prompt_cache": f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT key || '/' || event_type AS key, id, t, row_number() OVER (PARTITION BY key, event_type ORDER BY t, id) AS n FROM e),
 r AS (SELECT key, id, n, false AS hit, t AS written FROM o WHERE n = 1 UNION ALL SELECT o.key, o.id, o.n, o.t - r.written <= {CACHE.cache_seconds}, CASE WHEN o.t - r.written <= {CACHE.cache_seconds} THEN r.written ELSE o.t END FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1)
 SELECT key, id, hit FROM r""",
@@ -314,8 +286,6 @@ SELECT query_id, web_reason, length(c) AS n, length(replace(url_encode(c), '%2F'
 SELECT *, row_number() OVER (PARTITION BY session ORDER BY ord) AS place FROM p QUALIFY place <= 5""",
     "retrieval_metrics": _JUDGED + " SELECT * FROM m",
     "bucket_metrics": _JUDGED + " SELECT category, count(*) AS total, round(avg(recall), 7) AS avg_recall, round(avg(mrr), 7) AS avg_mrr, round(avg(ndcg), 7) AS avg_ndcg, round(avg(case_id % 97), 7) AS avg_latency_ms, quantile_disc((case_id % 97)::DOUBLE, 0.95) AS p95_latency_ms FROM m GROUP BY 1",
-    "pareto_frontier": """WITH r AS (SELECT s_suppkey, round(s_acctbal / 10000, 4) AS recall, (s_suppkey * 7919 % 997)::DOUBLE AS latency FROM supplier)
-SELECT * FROM r QUALIFY recall > coalesce(max(recall) OVER (ORDER BY latency, recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""",
     "answer_metrics": f"WITH {_ANSWERS} SELECT hard_case, {_RATES} FROM j GROUP BY 1",
     "release_gate": f"""WITH {_ANSWERS}, r AS (SELECT {_RATES} FROM j), g AS (SELECT *, list_filter([CASE WHEN pass_rate < 0.8 THEN 'pass_rate' END, CASE WHEN citation_hit_rate < 0.85 THEN 'citation_hit_rate' END, CASE WHEN 0.9 - pass_rate > 0.03 THEN 'pass_rate_regression' END, CASE WHEN 0.9 - citation_hit_rate > 0.05 THEN 'citation_hit_regression' END, 'p95_regression'], lambda x: x IS NOT NULL) AS f FROM r)
 SELECT pass_rate, citation_hit_rate, 'rollback' AS decision, 'canary' AS next_stage, array_to_string(f, ',') AS reasons FROM g""",

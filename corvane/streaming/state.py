@@ -1,4 +1,8 @@
-"""The keyed state operators over streams: the same transitions as in batch, one key's state at a time."""
+"""The keyed state operators over streams, with timers: one key's state at a time, kept in the checkpoint, so that a restart goes on where it ended.
+
+Events may come in any order within ``delay`` of the latest one seen (the watermark): the breaker keeps them until the watermark has passed them and takes them in order
+of time then; memory lets an older value that comes late change nothing. What comes later than that is left out.
+"""
 
 from __future__ import annotations
 
@@ -6,51 +10,135 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corvane.config import SETTINGS, Settings
+from corvane.operators.scans import Breaker
+from corvane.operators.state import LASTS
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _millis(t: float) -> int:
+    """Whole milliseconds, upward: the watermark passes an event only after its time."""
+    return int(-(-t * 1000 // 1)) + 1
+
+
+class _Ordered(StatefulProcessor):
+    """Keeps events until the watermark has passed them, then walks a machine over them in order of time."""
+
+    def __init__(self, machine):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "count long, value double")
+        self.waiting = handle.getListState("waiting", "t double, id long, failed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        least = None
+        for frame in rows:
+            new = [(float(t), int(i), bool(f)) for t, i, f in zip(frame["t"], frame["id"], frame["failed"], strict=True) if _millis(t) > passed]
+            if new:
+                self.waiting.appendList(new)
+                least = min([x[0] for x in new] + ([] if least is None else [least]))
+        if least is not None:
+            self.handle.registerTimer(_millis(least))
+        yield pd.DataFrame([], columns=["key", "id", "outcome", "failures"], dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(x) for x in self.waiting.get())
+        due, later = [x for x in held if _millis(x[0]) <= passed], [x for x in held if _millis(x[0]) > passed]
+        state, out = tuple(self.state.get()) if self.state.exists() else self.machine.start, []
+        for t, i, failed in due:
+            state, said = self.machine.walk(state, t, failed)
+            out.append((key[0], i, *said))
+        if due:
+            self.state.update((int(state[0]), float(state[1])))
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer(_millis(later[0][0]))
+        yield pd.DataFrame(out, columns=["key", "id", "outcome", "failures"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
 
+def breaker_stream(events: DataFrame, s: Settings = SETTINGS, delay: str = "1 hour") -> DataFrame:
+    """(key, id, outcome, failures) for a stream of events (key, id, t: seconds, failed), each once the watermark has passed it."""
+    rows = events.select("key", "id", F.col("t").cast("double").alias("t"), "failed", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("at")).withWatermark("at", delay)
+    return rows.groupBy("key").transformWithStateInPandas(_Ordered(Breaker(s.breaker_failures, s.breaker_seconds)), "key string, id long, outcome string, failures int", "Append", "EventTime")
 
-def breaker_stream(events: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """(key, id, outcome, failures) for a stream of events (key, id, t: seconds, failed). Events of a batch are taken in order of time; state is the failures in a row and the time until which the breaker is open."""
-    least, seconds = s.breaker_failures, s.breaker_seconds
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["t", "id"])
+class _Memory(StatefulProcessor):
+    """The newest value of a (session, kind, key), until it expires."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long, ord long, expires long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows))
+        ts = (frames["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        best = max(zip(ts, frames["ord"].tolist(), frames["value"].tolist(), strict=True), key=lambda x: x[:2])
+        lasts, out = LASTS.get(key[1]), []
+        expires = -1 if lasts is None else best[0] + lasts * 1_000_000
+        held = self.last.get() if self.last.exists() else None
+        gone = 0 <= expires <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not gone and (held is None or best[:2] > (held[0], held[1])):
+            if held is not None and held[2] >= 0:
+                self.handle.deleteTimer(-(-held[2] // 1000))
+            self.last.update((best[0], int(best[1]), expires))
+            if expires >= 0:
+                self.handle.registerTimer(-(-expires // 1000))
+            out.append((*key, int(best[1]), best[2], pd.Timestamp(best[0], unit="us"), None if expires < 0 else pd.Timestamp(expires, unit="us"), "set"))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        for e in rows.itertuples():
-            if until > e.t:
-                out.append((key[0], e.id, "rejected", failures))
-                continue
-            if e.failed:
-                failures += 1
-                until = e.t + seconds if failures >= least else until
-            else:
-                failures, until = 0, 0.0
-            out.append((key[0], e.id, "failed" if e.failed else "ok", failures))
-        state.update((failures, until))
-        yield pd.DataFrame(out, columns=["key", "id", "outcome", "failures"])
-
-    return events.groupBy("key").applyInPandasWithState(step, "key string, id long, outcome string, failures int", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
-
-
-def memory_stream(log: DataFrame) -> DataFrame:
-    """(session, kind, key, ord, value) for a stream of log rows: the newest value whenever a key gets one; older rows that come late change nothing."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1
-        rows = pd.concat(list(frames))
-        row = rows.loc[rows["ord"].idxmax()]
-        if row["ord"] > last:
-            state.update((int(row["ord"]), row["value"]))
-            yield pd.DataFrame([(*key, int(row["ord"]), row["value"])], columns=["session", "kind", "key", "ord", "value"])
-
-    return log.groupBy("session", "kind", "key").applyInPandasWithState(step, "session long, kind string, key string, ord long, value string", "ord long, value string", "update", GroupStateTimeout.NoTimeout)
-
-
-def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """All that a stream has now, written under ``path`` (a folder that all executors share) and read back."""
-    query = stream.writeStream.format("parquet" if mode == "append" else "memory").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+        if self.last.exists():
+            ts, place, expires = self.last.get()
+            if 0 <= expires <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+                self.last.clear()
+                out.append((*key, int(place), None, pd.Timestamp(ts, unit="us"), pd.Timestamp(expires, unit="us"), "expired"))
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["session", "kind", "key", "ord", "value", "ts", "expires_at", "event"])
+        return out.astype({"ts": "datetime64[us]", "expires_at": "datetime64[us]"})
+
+    def close(self) -> None:
+        pass
+
+
+def memory_stream(log: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(session, kind, key, ord, value, ts, expires_at, event) for a stream of log rows (session, kind, key, value, ts, ord): ``set`` whenever a key gets a newer value,
+    ``expired`` once the watermark has passed its time to live."""
+    rows = log.select("session", "kind", "key", "value", "ts", "ord").withWatermark("ts", delay)
+    schema = "session long, kind string, key string, ord long, value string, ts timestamp, expires_at timestamp, event string"
+    return rows.groupBy("session", "kind", "key").transformWithStateInPandas(_Memory(), schema, "Append", "EventTime")
+
+
+def remembered(changes: DataFrame, as_of) -> DataFrame:
+    """(session, kind, key, ord) of what a memory stream's changes leave in force at ``as_of``."""
+    last = changes.where("event = 'set'").groupBy("session", "kind", "key").agg(F.max_by(F.struct("ord", "expires_at"), F.struct("ts", "ord")).alias("s"))
+    return last.where(F.col("s.expires_at").isNull() | (F.col("s.expires_at") > as_of)).select("session", "kind", "key", "s.ord")
+
+
+def run_once(stream: DataFrame, path: str) -> DataFrame:
+    """All that a stream has now, written under ``path`` (a folder that all executors share) and read back; run again with the same path, it goes on from its checkpoint."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")

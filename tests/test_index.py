@@ -1,5 +1,7 @@
 """The chunk index, the way from requests to answers, and the steps around it."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,36 @@ def test_index_is_kept_and_replaced(spark, folder, tmp_path):
     assert index.hybrid(asked, empty).count() == 0
 
 
+def test_reindex_embeds_new_texts_only(spark, folder, tmp_path):
+    path, corpus = f"{tmp_path}/i", tables.markdown_corpus(spark, folder)
+    provider = lambda some: [[float(len(x)), 1.0] for x in some]
+    assert index.opened(spark, path) == (None, "missing")
+    one = index.build(corpus.where("doc_id < 2"), path, provider)
+    held = index.load(spark, path)
+    two, three = index.build(corpus, path, provider), index.build(corpus, path, provider)
+    assert one["embedded"] == one["chunk_count"] and two["embedded"] == two["chunk_count"] - one["chunk_count"] and three["embedded"] == 0 and three["version"] == 3
+    assert held.count() == one["chunk_count"]  # a reader keeps what it has loaded
+    rows = index.load(spark, path)
+    assert {tuple(r["embedding"]) for r in rows.collect()} == {tuple(r["embedding"]) for r in index.embedded(rows.drop("embedding"), "page_content", provider).collect()}
+    broken = index.build(corpus.withColumn("text", F.concat("text", F.lit(" more words than before, for all of them"))), path, lambda some: 1 / 0)
+    rows = index.load(spark, path)
+    assert broken["status"] == "ok" and {(r["embedding_source"], len(r["embedding"])) for r in rows.collect()} == {("local", 32)}
+    file = next(Path(rows.inputFiles()[0].removeprefix("file://")).parent.glob("*.parquet"))
+    file.write_bytes(b"damaged")
+    found, why = index.opened(spark, path)
+    assert found is None and why and why != "missing"
+
+
+def test_equal_scores_go_by_year_then_channel(spark, built):
+    """The temporal part only breaks ties: an expired chunk of the year that is asked for doesn't pass one with a better score."""
+    schema = "ord long, chunk_id string, chunk_level string, parent_id string, parent_text string, chunk_text string, page_content string, sparse_view string, title string, topic string, publish_date string, effective_date string, expire_date string, queries array<string>, embedding array<double>"
+    made = lambda i, text, title, start, end: (i, f"c{i}", "small", f"p{i}", text, text, text, text, title, "t", "", start, end, [], [1.0] + [0.0] * 31)
+    rows = spark.createDataFrame([made(1, "old news of 2020", "a", "2020-01-01", "2020-12-31"), made(2, "fees 2021 fees fees", "b", "2021-01-01", "2999-12-31"), made(3, "other words", "c", "2021-01-01", "2999-12-31")], schema)
+    asked = spark.createDataFrame([(1, "最新 fees 2020")], "query_id long, query string")
+    got = index.hybrid(asked, rows).orderBy("rank").collect()
+    assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True) and got[0]["ord"] != 1
+
+
 def test_embedding_provider(spark):
     rows = spark.createDataFrame([(i, "t" * i) for i in range(40)], "id long, text string")
     sizes = index.embedded(rows, "text", lambda some: [[3.0 if len(some) <= 16 else 0.0, 4.0] for _ in some])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.functions import text
-from corvane.operators import deliver, evaluate, ingest, rank, retrieve, safety, state, understand
+from corvane.operators import ann, deliver, evaluate, ingest, rank, retrieve, safety, scans, state, understand
 
 
 def test_windows_cover_the_text(spark):
@@ -34,8 +34,17 @@ def test_ranking_metrics(spark):
 
 
 def test_pareto(spark):
-    rows = spark.createDataFrame([(1.5, 0.82), (1.8, 0.82), (2.3, 0.9)], "latency double, recall double")
-    assert sorted(r["recall"] for r in evaluate.pareto(rows).collect()) == [0.82, 0.9]
+    rows = spark.createDataFrame([(1, 1.5, 0.82), (2, 1.8, 0.82), (3, 2.3, 0.9)], "setting int, latency double, recall double")
+    assert sorted(r["recall"] for r in ann.frontier(rows, "latency", "recall", "setting").collect()) == [0.82, 0.9]
+    rng = random.Random(4)
+    many = [(k, float(rng.randrange(2000)), rng.randrange(400) / 1000 + k / 40_000) for k in range(8000)]
+    best, want = -1.0, []
+    for k, latency, recall in sorted(many, key=lambda x: (x[1], -x[2], x[0])):
+        if recall > best:
+            best = recall
+            want.append(k)
+    rows = spark.createDataFrame(many, "setting int, latency double, recall double")
+    assert sorted(r["setting"] for r in ann.frontier(rows, "latency", "recall", "setting").collect()) == sorted(want)
 
 
 def test_release_gate(spark):
@@ -73,7 +82,7 @@ def test_breaker_matches_a_plain_loop(spark):
         n = n + 1 if failed else 0
         until = (t + s.breaker_seconds if n >= s.breaker_failures else until) if failed else 0.0
         held[key], want[i] = (n, until), "failed" if failed else "ok"
-    got = state.circuit_breaker(spark.createDataFrame(rows, "key string, id long, t double, failed boolean"), s).collect()
+    got = scans.circuit_breaker(spark.createDataFrame(rows, "key string, id long, t double, failed boolean"), s).collect()
     assert {r["id"]: r["outcome"] for r in got} == want
 
 
