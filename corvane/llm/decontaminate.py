@@ -6,7 +6,8 @@ it once. Hits are kept as stretches of words and mapped to offsets in the origin
 
 The patterns are the only data sent to all tasks. Their bytes are measured first: each automaton holds at most
 ``block_bytes`` of item text, and a larger benchmark is cut into several automata whose hits are merged per document.
-Null texts and null item texts have no words; a null doc_id is kept as it is; repeated rows give a row each (with several automata, rows that
+Null texts and null item texts have no words; items without an item_id are one item, named by the empty string; a null doc_id is kept as it is; very long texts are
+one row of one task; repeated rows give a row each (with several automata, rows that
 agree in doc_id and text give the same values); an empty table or benchmark gives no hits.
 """
 
@@ -46,7 +47,7 @@ def patterns(items: list[tuple[object, str | None]], window: int = WINDOW) -> di
         for i in range(max(1, len(w) - window + 1) if w else 0):
             part = w[i : i + window]
             held = out.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), []))[1]
-            if (name := str(item)) not in held:
+            if (name := "" if item is None else str(item)) not in held:
                 held.append(name)
     return out
 

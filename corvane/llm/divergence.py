@@ -74,7 +74,7 @@ def _share(n, total) -> F.Column:
     return F.when(total > 0, 1 + F.call_function("div", (n + 2).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), F.greatest(total, F.lit(1)).cast("decimal(20,0)"))).otherwise(1).cast("long")
 
 
-def _submatrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _submatrices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """From rows of a block in a chunk, those of a tile's span one after another by chunk and side: (lang, i, j, value) of each tile and span."""
     now = total = left = None
     firsts = (0, 0)
@@ -91,7 +91,7 @@ def _submatrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if tile != now:
                 if total is not None:
                     yield done()
-                now, total, firsts = tile, None, (tile[1] * BLOCK, tile[2] * BLOCK)
+                now, total, firsts = tile, None, (tile[1] * size, tile[2] * size)
             full = np.repeat(none.values.to_numpy()[:, None], width.as_py(), axis=1)
             if g.is_valid:
                 full[g.values.to_numpy(), t.values.to_numpy()] = p.values.to_numpy()
@@ -106,25 +106,25 @@ def _submatrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _pairs(kept: DataFrame, groups: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def _pairs(kept: DataFrame, groups: DataFrame, vocabulary: DataFrame, size: int, span: int) -> DataFrame:
     """(lang, i, j, value) for each two groups of a language, in both orders."""
-    blocks = groups.groupBy("lang", F.floor(F.col("i") / BLOCK).cast("int").alias("block")).agg(F.first("chunks").alias("chunks"), F.first("blocks").alias("blocks"), F.transform(F.array_sort(F.collect_list(F.struct("i", "none"))), lambda x: x["none"]).alias("none"))
+    blocks = groups.groupBy("lang", F.floor(F.col("i") / size).cast("int").alias("block")).agg(F.first("chunks").alias("chunks"), F.first("blocks").alias("blocks"), F.transform(F.array_sort(F.collect_list(F.struct("i", "none"))), lambda x: x["none"]).alias("none"))
     widths = vocabulary.groupBy(F.col("lang").alias("w_lang"), F.col("chunk").alias("w_chunk")).agg(F.count("*").cast("int").alias("width"))
-    at = F.struct((F.col("i") % BLOCK).cast("int").alias("g"), "t", "p")
-    packed = kept.groupBy(F.col("lang").alias("p_lang"), F.floor(F.col("i") / BLOCK).cast("int").alias("p_block"), F.col("chunk").alias("p_chunk")).agg(F.collect_list(at).alias("cells"))
+    at = F.struct((F.col("i") % size).cast("int").alias("g"), "t", "p")
+    packed = kept.groupBy(F.col("lang").alias("p_lang"), F.floor(F.col("i") / size).cast("int").alias("p_block"), F.col("chunk").alias("p_chunk")).agg(F.collect_list(at).alias("cells"))
     packed = packed.select("p_lang", "p_block", "p_chunk", *[F.col("cells")[c].alias(c) for c in "gtp"])
     rows = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.join(widths, (F.col("lang") == F.col("w_lang")) & (F.col("chunk") == F.col("w_chunk")), "left")
     rows = rows.join(packed, (F.col("lang") == F.col("p_lang")) & (F.col("block") == F.col("p_block")) & (F.col("chunk") == F.col("p_chunk")), "left")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = rows.select("lang", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.floor(F.col("chunk") / SPAN).cast("int").alias("span"), "chunk", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), F.coalesce("width", F.lit(0)).alias("width"), "none", "g", "t", "p")
+    tiles = rows.select("lang", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.floor(F.col("chunk") / span).cast("int").alias("span"), "chunk", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), F.coalesce("width", F.lit(0)).alias("width"), "none", "g", "t", "p")
     tiles = tiles.repartition("lang", "bi", "bj", "span").sortWithinPartitions("lang", "bi", "bj", "span", "chunk", "side")
-    one = tiles.mapInArrow(_submatrices, "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
-    same = F.floor(F.col("i") / BLOCK) == F.floor(F.col("j") / BLOCK)
+    one = tiles.mapInArrow(lambda batches: _submatrices(batches, size), "lang string, i long, j long, value long").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    same = F.floor(F.col("i") / size) == F.floor(F.col("j") / size)
     return one.unionByName(one.where(~same).select("lang", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
 
 
-def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
     """(lang, source, part, item, value, rank): each other source of a group's language by its distance, and the terms that the group has most beyond its language."""
     counts = table(group_counts(docs))
     vocabulary = table(counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("df").alias("df")).where(F.col("df") >= least).select("lang", "term", "all"))
@@ -132,7 +132,7 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     by_lang = langs.select(F.col("lang").alias("l_")).distinct().join(vocabulary.groupBy(F.col("lang").alias("v_")).agg(F.count("*").alias("kept"), F.sum("all").alias("total")), F.col("l_") == F.col("v_"), "left")
     by_lang = table(by_lang.select("l_", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"), F.coalesce("total", F.lit(0).cast("long")).alias("total")))
     terms_ = vocabulary.join(by_lang, F.col("lang") == F.col("l_"))
-    q, chunks_ = _share(F.col("all"), F.col("total") + 2 * F.col("kept")), F.greatest(F.lit(1), F.ceil(F.col("kept") / CHUNK)).cast("int")
+    q, chunks_ = _share(F.col("all"), F.col("total") + 2 * F.col("kept")), F.greatest(F.lit(1), F.ceil(F.col("kept") / chunk)).cast("int")
     terms_ = terms_.select("lang", "term", q.alias("q"), F.pmod(F.xxhash64("term"), chunks_).cast("int").alias("chunk"))
     terms_ = table(terms_.withColumn("t", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1))
     known = terms_.select(F.col("lang").alias("k_lang"), F.col("term").alias("k_term"), "q", "chunk", "t")
@@ -141,11 +141,11 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     groups = langs.join(sums, (F.col("lang") == F.col("s_lang")) & (F.col("source") == F.col("s_source")), "left").join(by_lang, F.col("lang") == F.col("l_"))
     room = F.coalesce("own", F.lit(0).cast("long")) + 2 * F.col("kept")
     of_lang = Window.partitionBy("lang")
-    groups = groups.select("lang", "source", room.alias("room"), _share(F.lit(0).cast("long"), room).alias("none"), chunks_.alias("chunks"), (F.row_number().over(of_lang.orderBy("source")) - 1).alias("i"), F.ceil(F.count("*").over(of_lang) / BLOCK).cast("int").alias("blocks"))
+    groups = groups.select("lang", "source", room.alias("room"), _share(F.lit(0).cast("long"), room).alias("none"), chunks_.alias("chunks"), (F.row_number().over(of_lang.orderBy("source")) - 1).alias("i"), F.ceil(F.count("*").over(of_lang) / block).cast("int").alias("blocks"))
     groups = table(groups)
     side = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "room", "i")
     kept = kept.join(side, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source"))).withColumn("p", _share(F.col("n"), F.col("room")))
-    pairs = _pairs(kept.select("lang", "i", "chunk", "t", "p"), groups, terms_)
+    pairs = _pairs(kept.select("lang", "i", "chunk", "t", "p"), groups, terms_, block, span)
     names = groups.select(F.col("lang").alias("n_lang"), "source", F.col("i").alias("n_i"))
     others = groups.select(F.col("lang").alias("o_lang"), F.col("source").alias("item"), F.col("i").alias("o_i"))
     pairs = pairs.join(names, (F.col("lang") == F.col("n_lang")) & (F.col("i") == F.col("n_i"))).join(others, (F.col("lang") == F.col("o_lang")) & (F.col("j") == F.col("o_i")))

@@ -6,8 +6,10 @@ offset is added, and a copy is emitted for each whole number that the running su
 
 The running sum is made in two levels: counts of cells (source, size, doc_id modulo ``cells``) are summed first, then
 rows are numbered inside their cell; no task ever holds a source. Null text counts as size 0, a null source is a source
-of its own (the last), a null doc_id sits in cell 0 and comes last there, repeated rows are documents of their own, and
-an empty table gives an empty result.
+of its own (the last), a null doc_id sits in cell 0 and comes last there, rows of one size that share a doc_id (or have none) go by a hash of
+all their columns, so that reruns agree whatever the order rows come in, repeated rows are documents of their own, and
+an empty table gives an empty result. A very long text is one row of one task. Other columns pass unseen; their names must not be
+copies, source_size or target (callers set clashing ones aside).
 """
 
 from __future__ import annotations
@@ -55,13 +57,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     )
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.row_number().over(Window.partitionBy("source", "size", "c_").orderBy(F.col("doc_id").asc_nulls_last())) + F.col("before")
+    row = F.xxhash64(*[F.col(f"`{n}`") for n, t in docs.dtypes if "map<" not in t and t != "variant"])
+    rank = F.row_number().over(Window.partitionBy("source", "size", "c_").orderBy(F.col("doc_id").asc_nulls_last(), "h_")) + F.col("before")
     return (
-        docs.withColumn("c_", cell)
+        docs.withColumns({"c_": cell, "h_": row})
         .join(plan, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("c_") == F.col("cell")))
         .withColumn("r_", rank)
         .withColumn("copies", (F.floor(rate * F.col("r_") + offset) - F.floor(rate * (F.col("r_") - 1) + offset)).cast("long"))
-        .drop("c_", "c_source", "c_size", "cell", "before", "r_")
+        .drop("c_", "h_", "c_source", "c_size", "cell", "before", "r_")
     )
 
 

@@ -9,16 +9,9 @@ Sketch: shingle hashes fall into ``BUCKETS`` buckets; a register keeps the least
 agree in a band share a key. At a similarity of 0.8 independent registers would agree in none of the 42 bands with probability 3e-6; simulated,
 3 of 320,000 pairs of 5 to 640 shingles at exactly 0.8 did. Such a link is lost, and one whose estimate errs by more than five standard errors.
 
-Within a key, members are compared with one hub, the member that meets most others over all keys, never with each other. The estimate (corrected
-for registers that agree by chance) sets members far from the hub apart: below ``2 * share - 1`` less five standard errors they can't be linked with
-anything that is linked with the hub (Jaccard distance is a metric), so they stay in the key for the next round, with those that are not linked. Of the
-others the full sets give the exact difference to the hub, ``D(x)``, and link or not. Two members x, y of a hub in different components, of which
-y is not linked with the hub, are linked just if ``|D(x)| + |D(y)| - 2 |D(x) & D(y)| <= L (|x| + |y|)``, ``L = (1 - share) / (1 + share)``. As
-``|D(y)| > L (|y| + |hub|)``, x has to share more than ``(|D(x)| + L (|hub| - |x|)) / 2`` of its differences, about half. So
-the rarest ``|D(x)|`` less that number plus one of x hold a difference of y (prefix filter), and differences that only one member has drop out. Members that
-meet in such a difference form a key of the next round. Once keys hold few pairs a row (counted first), these are compared directly; until then rounds go on,
-however many; every hub ranks above all members left, so that they end. No pair within a key is left out other than by these exact bounds and the
-estimate's five standard errors.
+The members of a key of at most ``SMALL`` are compared by the estimate (corrected for registers that agree by chance); pairs that may be linked by it, five
+standard errors allowed, are confirmed on the full sets. Larger keys are joined in regions around pivots by exact differences to them (``regions``), which never compares all
+members with each other, and ends in few rounds however far members are from the pivots.
 
 Empty sets (null or empty texts, texts of white space) are linked with nothing. Documents without a doc_id join the class of their set, and stay
 alone (component null, kept) where no member has an id. Rows that repeat a doc_id are judged each by its own text; a component's id is the smallest of
@@ -36,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, columns, mix, read, shingle_hashes, table, utf8, word_hashes
-from corvane.llm.components import components
+from corvane.llm.common import chunks, mix, read, table
+from corvane.llm.regions import classes, differences, full_sets, keyed, linked_components, members_of, shingles
 
 BUCKETS, MANTISSA, ROWS, EMPTY = 256, 10, 6, 0xFFFF
 BANDS = BUCKETS // ROWS
 #: For each register the order in which others stand in for it: itself, then all others in a random order of its own.
 PROBES = np.argsort(np.random.default_rng(4242).random((BUCKETS, BUCKETS)) - np.eye(BUCKETS), axis=1)
 SHARE = (80, 100)
-#: Pairs for each row, and for small inputs in all, below which the pairs of the keys are compared directly.
-PAIRS_PER_ROW, PAIRS = 2, 50_000
+#: Members of a key that are compared with each other by their sketches.
+SMALL = 8
 
 
 def sketches(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -96,16 +89,6 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     return np.clip(((((a == b) & used).sum(axis=1)) / n - p) / (1 - p), 0, 1), n
 
 
-def shingles(batch: pa.RecordBatch, n: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return shingle_hashes(*word_hashes(*utf8(batch.column(batch.schema.get_field_index(text)))), n)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    rows = columns(docs, "doc_id", "text")
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-
-
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text_key (hash of the text), n_shingles, class (16 bytes: hash of the set; null if empty), sketch."""
 
@@ -118,7 +101,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             sketch = [r.tobytes() if k else None for r, k in zip(registers, names, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(firsts), pa.int64()), pa.array(names, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "text_key", "n_shingles", "class", "sketch"])
 
-    return _keyed(docs).mapInArrow(f, "doc_id long, text_key long, n_shingles long, class binary, sketch binary")
+    return keyed(docs).mapInArrow(f, "doc_id long, text_key long, n_shingles long, class binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -156,134 +139,25 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "u_sketch", "v_sketch", ((F.col("u_n_shingles") + F.col("v_n_shingles")) / 2).alias("n")).mapInArrow(f, "u long, v long, near boolean")
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """u, v, their set sizes, whether they are linked, and the hashes that only one of the two full sets holds."""
-    num, den = share
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, linked, parts = [], [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                d = np.setxor1d(x, y, assume_unique=True)
-                sizes.append((len(x), len(y)))
-                linked.append((den + num) * len(d) <= (den - num) * (len(x) + len(y)))
-                parts.append(d)
-            ends = np.cumsum([0] + [len(d) for d in parts]).astype(np.int32)
-            diff = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            sizes = np.array(sizes, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes[:, 0]), pa.array(sizes[:, 1]), pa.array(linked, pa.bool_()), diff], ["u", "v", "nu", "nv", "linked", "diff"])
-
-    both = _sides(pairs.select("u", "v"), sets, "set").select("u", "v", "u_set", "v_set")
-    return both.mapInArrow(f, "u long, v long, nu long, nv long, linked boolean, diff array<bigint>")
-
-
-def _full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node and the sorted hashes of its set, from nodes (node, doc_id, text_key)."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            hashes, firsts = shingles(b, n)
-            parts = [hashes[i:j].tobytes() for i, j in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], ["node", "set"])
-
-    first = nodes.select("node", F.col("doc_id").alias("d_"), F.col("text_key").alias("k_")).hint("shuffle_hash")
-    rows = _keyed(docs).join(first, (F.col("doc_id") == F.col("d_")) & (F.col("text_key") == F.col("k_")))
-    return rows.select("node", "text").mapInArrow(f, "node long, set binary")
-
-
-def _meetings(tried: DataFrame, named: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Keys of the next round: (key, node, held, asks, d, size, room, before), from members of hubs that are in several components.
-
-    ``room``: differences of the node from here on in the order of the rarest, those left out that no other member has. ``before``: those before.
-    ``asks``: the node is not linked with the hub. ``held``: the difference is among the rarest of the node, as many as the docstring above says.
-    """
-    num, den = share
-    whole, part = den + num, den - num
-    rows = tried.join(named.select(F.col("node").alias("n_"), "c"), F.col("v") == F.col("n_")).drop("n_")
-    several = rows.groupBy("u").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("u").alias("h_"))
-    rows = rows.join(several, F.col("u") == F.col("h_"), "left_semi")
-    spread = rows.select("u", "v", F.explode("diff").alias("e"))
-    common = spread.groupBy("u", "e").agg(F.count("*").alias("df")).where("df > 1").select(F.col("u").alias("u_"), F.col("e").alias("e_"), "df")
-    kept = spread.join(common, (F.col("u") == F.col("u_")) & (F.col("e") == F.col("e_"))).groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-    sized = rows.select(F.col("u").alias("u_"), F.col("v").alias("v_"), "nu", "nv", "linked", F.size("diff").cast("long").alias("d"))
-    kept = kept.join(sized, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")))  # a row for each pair
-    alone = F.col("d") - F.size("es")
-    held = F.col("d") - F.floor((F.col("d") * whole + (F.col("nu") - F.col("nv")) * part) / (2 * whole)) - alone
-    asks = F.when(~F.col("linked"), F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("d") * whole - (F.col("nu") + F.col("nv")) * part) / (2 * whole))) + 1 - alone).otherwise(0)
-    wide = kept.select("u", "v", "es", "d", "nv", held.alias("held"), asks.alias("asks")).where("greatest(held, asks) > 0")
-    each = wide.select("u", "v", "es", "held", "asks", "d", "nv", F.size("es").alias("k"), F.posexplode(F.slice("es", F.lit(1), F.greatest("held", "asks").cast("int"))).alias("i", "s"))
-    flags = (F.col("i") < F.col("held")).alias("held"), (F.col("i") < F.col("asks")).alias("asks")
-    return each.select(F.xxhash64("u", "s.e").alias("key"), F.col("v").alias("node"), *flags, "d", F.col("nv").alias("size"), (F.col("k") - F.col("i")).cast("long").alias("room"), F.transform(F.slice("es", F.lit(1), F.col("i")), lambda x: x["e"]).alias("before"))
-
-
-def _open_keys(members: DataFrame, named: DataFrame) -> DataFrame:
-    """``members`` with their component c, of the keys in which a member that asks meets one of another component that is held."""
-    rows = members.join(named.select(F.col("node").alias("n_"), "c"), F.col("node") == F.col("n_")).drop("n_")
-    by = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("held").alias("h"), F.max("asks").alias("a")).where("lo < hi AND h AND a")
-    return rows.join(by.select(F.col("key").alias("k_")), F.col("key") == F.col("k_"), "left_semi")
-
-
-def links(docs: DataFrame, classes: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """(node, component) of all nodes that are linked with another, from classes (node, n_shingles, sketch)."""
-    (num, den), bands, least = share, _bands(classes), share[0] / share[1]
+def links(docs: DataFrame, classes_: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """(node, component) of all nodes that are linked with another, from classes (node, doc_id, text_key, n_shingles, sketch)."""
+    bands, least = _bands(classes_), share[0] / share[1]
     shared = bands.groupBy("key").agg(F.count("*").alias("n_")).where("n_ > 1").select(F.col("key").alias("k_"), "n_")
     rows = table(bands.join(shared, F.col("key") == F.col("k_")).select("key", "node", "n_"))
-    total, ranks = rows.count(), table(rows.groupBy("node").agg(F.sum("n_").alias("rank")))
-    first = classes.join(ranks.select(F.col("node").alias("n_")), F.col("node") == F.col("n_"), "left_semi")
-    sets = table(_full_sets(docs, first.select("node", "doc_id", "text_key"), n).dropDuplicates(["node"]))
-    rows, edges, found = rows.select("key", "node", F.lit(True).alias("held"), F.lit(True).alias("asks")), None, None
-    while True:
-        hubs = rows.join(ranks.withColumnRenamed("node", "r_"), F.col("node") == F.col("r_")).groupBy("key").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("u"))
-        stars = rows.join(hubs.select(F.col("key").alias("k_"), "u"), F.col("key") == F.col("k_")).where("node <> u").select("key", "u", "node", "held", "asks")
-        judged = table(_estimated(stars.select("u", F.col("node").alias("v")).distinct(), classes, 2 * least - 1))
-        tried = table(_differences(judged.where("near"), sets, share))
-        more = tried.where("linked").select("u", "v")
-        edges = table(more if edges is None else edges.unionByName(more).distinct())
-        found = components(edges)
-        named = table(ranks.select("node").join(found.withColumnRenamed("node", "c_"), F.col("node") == F.col("c_"), "left").select("node", F.coalesce("component", "node").alias("c")))
-        state = judged.join(tried.select(F.col("u").alias("u_"), F.col("v").alias("v_"), "linked"), (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_")), "left").select(F.col("u").alias("u_"), F.col("v").alias("v_"), "near", "linked")
-        apart = stars.join(state, (F.col("u") == F.col("u_")) & (F.col("node") == F.col("v_"))).where("linked IS NULL OR NOT linked")
-        far = apart.where("NOT near").select(F.col("key").alias("k_")).distinct()
-        apart = apart.join(far, F.col("key") == F.col("k_"), "left_semi").select("key", "node", "held", "asks", *[F.lit(x).cast("long").alias(c) for c, x in (("d", 0), ("size", 0), ("room", 1))], F.array().cast("array<bigint>").alias("before"))
-        rows = table(_open_keys(_meetings(tried, named, share).unionByName(apart), named))
-        counts = rows.groupBy("key").agg(F.sum(F.col("held").cast("long")).alias("h"), F.sum(F.col("asks").cast("long")).alias("a"))
-        pairs = counts.agg(F.sum(F.col("h").cast("double") * F.col("a"))).first()[0] or 0
-        if not pairs:
-            return found
-        if pairs <= PAIRS_PER_ROW * total + PAIRS:
-            a, b = rows.where("asks").alias("a"), rows.where("held").alias("b")
-            # the first difference that two linked members share leaves both room for as many as they must share
-            must = (F.col("a.d") + F.col("b.d")) * (den + num) - (F.col("a.size") + F.col("b.size")) * (den - num)
-            room = F.least("a.room", "b.room") * 2 * (den + num)
-            first = ~F.arrays_overlap("a.before", "b.before")  # each pair once for a hub
-            few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") != F.col("b.c")) & (room >= must) & first).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-            last = _differences(_estimated(few, classes, least).where("near"), sets, share).where("linked").select("u", "v")
-            return components(table(edges.unionByName(last)))
-
-
-def _classes(rows: DataFrame) -> DataFrame:
-    """(class, node, doc_id, text_key, n_shingles, sketch): node is the smallest doc_id, or a hash of the class where that id belongs to another class too."""
-    first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    out = rows.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    out = table(out.select("class", "first.*", "n_shingles", "sketch"))
-    several = out.groupBy("doc_id").agg(F.min("class").alias("keeps_"), F.count("*").alias("n_")).where("n_ > 1").select(F.col("doc_id").alias("d_"), "keeps_")
-    if not several.head(1):
-        return out.withColumn("node", F.col("doc_id"))
-    mine = F.col("keeps_").isNull() | (F.col("class") == F.col("keeps_"))
-    return table(out.join(several, F.col("doc_id") == F.col("d_"), "left").withColumn("node", F.when(mine, F.col("doc_id")).otherwise(F.xxhash64("class"))).drop("d_", "keeps_"))
+    held = rows.select(F.col("node").alias("m_")).distinct()
+    sets = table(full_sets(docs, classes_.join(held, F.col("node") == F.col("m_"), "left_semi"), n))
+    few = rows.where(F.col("n_") <= SMALL)
+    pairs = few.select("key", F.col("node").alias("u")).join(few.select(F.col("key").alias("k_"), F.col("node").alias("v")), (F.col("key") == F.col("k_")) & (F.col("u") < F.col("v"))).select("u", "v").distinct()
+    edges = table(differences(table(_estimated(pairs, classes_, least).where("near")), sets, share).where("linked").select("u", "v"))
+    found, _ = linked_components(table(rows.where(F.col("n_") > SMALL).select("key", "node")), sets, share, edges=edges)
+    return found
 
 
 def keyed_near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = SHARE) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept, and text_key, the xxhash64 of its text."""
     rows = table(sets_of(docs, shingle))
-    classes = _classes(rows)
-    found = links(docs, classes, shingle, share)
-    joined = classes.select("class", "node", "doc_id").join(found.withColumnRenamed("node", "c_n"), F.col("node") == F.col("c_n"), "left").select(F.col("class").alias("c_"), F.coalesce("component", "node").alias("component"), "doc_id")
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("least")).withColumnRenamed("component", "l_")
-    named = joined.join(least, F.col("component") == F.col("l_")).select("c_", F.col("least").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "class", "text_key").join(named, F.col("class") == F.col("c_"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "text_key")
+    nodes = classes(rows, "n_shingles", "sketch")
+    out = members_of(rows, nodes, links(docs, nodes, shingle, share))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_key")
 
 

@@ -274,7 +274,7 @@ def _packed(rows: DataFrame, order: int, shards: int, turn: int, passes: int) ->
                 narrow = np.uint16 if len(held) <= 1 << 16 else np.uint32
                 cells = np.diff(np.append(np.flatnonzero(start), len(gs))).astype(np.uint32)
                 planes = np.ascontiguousarray(gs[start].view(np.uint8).reshape(-1, 8)[:, :6].T)  # bytes of a place together: the highest are in runs
-                row = [np.array(shard), planes, cells, local[: len(ps)].astype(narrow), np.minimum(ns, 65535).astype(np.uint16), keys[held], good[held], tell, again]
+                row = [np.array(shard), planes, cells, local[: len(ps)].astype(narrow), ns.astype(np.uint16 if int(ns.max(initial=0)) < 1 << 16 else np.uint32), keys[held], good[held], tell, again]
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in row[1:]]], ["shard", "grams", "cells", "docs", "counts", "keys", "good", "size", "again"])
 
     schema = "shard int, grams binary, cells binary, docs binary, counts binary, keys binary, good binary, size binary, again binary"
@@ -298,7 +298,7 @@ def _met(packed: DataFrame, known: DataFrame) -> DataFrame:
             g = g.view(np.uint64).ravel()
             cells, keys, good, size, again = (np.frombuffer(raw[i].as_buffer(), t) for i, t in ((1, np.uint32), (4, np.int64), (5, np.uint8), (6, np.int32), (7, np.float32)))
             doc = np.frombuffer(raw[2].as_buffer(), np.uint16 if len(keys) <= 1 << 16 else np.uint32)
-            n = np.frombuffer(raw[3].as_buffer(), np.uint16).astype(np.float64)
+            n = np.frombuffer(raw[3].as_buffer(), np.uint16 if len(raw[3].as_buffer()) == 2 * len(doc) else np.uint32).astype(np.float64)
             at = np.searchsorted(known_g, g)
             at[at == len(known_g)] = 0
             hit = known_g[at] == g if len(known_g) else np.zeros(len(g), bool)

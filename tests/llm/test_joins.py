@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from corvane.llm import divergence, jaccard, ranking, regions
+from corvane.llm import decontaminate, divergence, jaccard, mixing, near, ranking, regions
 
 AWKWARD = "doc_id long, text string, lang string, source string, term string, n int, u long, v long, key string, score int, bucket int"
 
@@ -59,7 +59,7 @@ def test_jaccard_join(spark, families, monkeypatch, few):
         monkeypatch.setattr(regions, "PAIRS", 0)
         monkeypatch.setattr(regions, "PAIRS_PER_NODE", 0)
         monkeypatch.setattr(regions, "WIDE", 4)
-        monkeypatch.setattr(regions.linked_components, "__defaults__", (3, 5))
+        monkeypatch.setattr(regions.linked_components, "__defaults__", (3, 20, None))
     got = jaccard.jaccard_join(spark.createDataFrame(families, "doc_id long, text string"))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(families, 3, 90, 100)
 
@@ -93,6 +93,36 @@ def test_templates_end_in_few_rounds(spark):
     assert found.count() == 0 and rounds <= 3
 
 
+@pytest.mark.parametrize("own", [8, 30, 50])
+def test_near_duplicate_templates_end(spark, monkeypatch, own):
+    """The same for near-duplicates, at similarities of about 0.8, 0.5 and 0.4."""
+    r, turns = random.Random(own), []
+    base, joined = " ".join(f"t{i}" for i in range(70)), regions.linked_components
+    rows = [(i, base + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(own))) for i in range(1500)]
+
+    def counted(*a, **k):
+        turns.append(joined(*a, **k))
+        return turns[-1]
+
+    monkeypatch.setattr(near, "linked_components", counted)
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    linked = 69 / (69 + 2 * own) >= 0.8
+    assert got.where("NOT kept").count() == (1499 if linked else 0) and turns[0][1] <= 3
+
+
+def test_reruns_of_a_mix_agree(spark):
+    """Rows of one size without a doc_id, or with a repeated one, get the same copies in whatever order they come."""
+    rows = [(None if i % 2 else i % 7, f"text {i:03d}", "s") for i in range(200)]
+    got = [{r["text"]: r["copies"] for r in mixing.mix_sources(mixing.with_size(spark.createDataFrame(some, "doc_id long, text string, source string").repartition(k))).collect()} for some, k in ((rows, 1), (rows[::-1], 5))]
+    assert got[0] == got[1] and len(got[0]) == 200 and len(set(got[0].values())) > 1
+
+
+def test_items_without_an_id_are_one(spark):
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "gamma delta"), (3, "beta gamma")], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string"), bench).first()
+    assert (got["n_items"], got["items"], got["n_hit"]) == (2, ["", "3"], 4)
+
+
 def awkward(spark):
     long = " ".join(f"w{i % 7919}" for i in range(60_000))
     shared = " ".join(f"s{i}" for i in range(40))
@@ -131,17 +161,14 @@ def test_awkward_tables(spark):
     assert ranking.search(ranking.item_terms(bench.limit(0)), post).count() == 0
 
 
-@pytest.mark.parametrize("block", [64, 3])
-def test_divergence_in_tiles(spark, monkeypatch, block):
+@pytest.mark.parametrize("size", [(), (10, 10, 3, 20, 2)])
+def test_divergence_in_tiles(spark, size):
     """More groups than a block holds, more terms than a chunk holds, a language without kept terms, groups without terms."""
-    monkeypatch.setattr(divergence, "BLOCK", block)
-    monkeypatch.setattr(divergence, "CHUNK", 20 if block == 3 else 4096)
-    monkeypatch.setattr(divergence, "SPAN", 2)
     r, rows = random.Random(2), awkward(spark)
     words = [f"{a}{b}" for a in "abcdeé" for b in "ghijklm"]
     rows += [(100 + k, " ".join(r.choice(words) for _ in range(r.randrange(40))), "fr" if k % 3 else None, f"src{r.randrange(8)}", "t", 1, 2, 3, "k", 4, 5) for k in range(300)]
     rows += [(900, None, "fr", "empty", "t", 1, 2, 3, "k", 4, 5), (901, "rare words", "xx", "a", "t", 1, 2, 3, "k", 4, 5), (902, None, "xx", None, "t", 1, 2, 3, "k", 4, 5)]
     want = with_duckdb(divergence.OP13_SQL, documents=([x[:4] for x in rows], "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR"))
     docs = spark.createDataFrame(rows, AWKWARD)
-    assert sorted(str(tuple(x)) for x in divergence.audit(docs).select(*want[0]).collect()) == want[1]
+    assert sorted(str(tuple(x)) for x in divergence.audit(docs, *size).select(*want[0]).collect()) == want[1]
     assert divergence.audit(docs.limit(0)).count() == 0

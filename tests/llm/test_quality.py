@@ -80,7 +80,7 @@ def corpus(seed):
     word = lambda: "".join(rng.choice(names) for _ in range(1 if rng.random() < 0.6 else 3))
     prose = lambda n: " ".join(rng.choice(["", "", "The "]) + word() + rng.choice(["", "", ",", "."]) for _ in range(n))
     rows = [(i, "en", prose(rng.randint(5, 60))) for i in range(160)]
-    rows += [(200 + i, "fr", "é" + prose(20)) for i in range(5)] + [(300, None, "x7 90 ##"), (301, "en", ""), (302, "en", None), (303, "en", " \n "), (None, "en", prose(9)), (5, "en", prose(30)), (310, "en", prose(30).replace(" ", " bad ", 1))]
+    rows += [(200 + i, "fr", "é" + prose(20)) for i in range(5)] + [(300, None, "x7 90 ##"), (301, "en", ""), (302, "en", None), (303, "en", " \n "), (None, "en", prose(9)), (5, "en", prose(30)), (310, "en", prose(30).replace(" ", " bad ", 1)), (320, "en", "bado " * 70_000)]
     labels = [(i, 1, 0) for i in range(120)] + [(i, 1, None) for i in (200, 201)] + [(i, 0, 0) for i in range(120, 130)] + [(7, 0, 0), (310, 1, 1), (999, 1, 0), (302, None, 1)]
     return rows, labels
 
