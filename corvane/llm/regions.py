@@ -109,13 +109,13 @@ def differences(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Da
 
 
 def _stars(rows: DataFrame, pivots: int) -> DataFrame:
-    """(key, u, node) for each pivot u of a key and each of its members that is no pivot, and for two pivots (u < node)."""
+    """(key, u, node) for each pivot u of a key and each of its members that is no pivot, and for two pivots (u < node). Keys of the same pivots are one: what is near whom goes by the pivots alone."""
     by = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
     chosen = rows.groupBy("key").agg(F.count("*").alias("n_"), *by)
     several = F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))
     chosen = chosen.select(F.col("key").alias("k_"), F.when(F.col("n_") >= WIDE, several).otherwise(F.array("p0")).alias("ps"))
-    both = rows.select("key", "node").join(chosen, F.col("key") == F.col("k_")).select("key", "node", F.array_contains("ps", F.col("node")).alias("pivot"), F.explode("ps").alias("u"))
-    return both.where("NOT pivot OR u < node")
+    both = rows.select("key", "node").join(chosen, F.col("key") == F.col("k_")).select(F.col("ps").alias("key"), "node").distinct()
+    return both.select("key", "node", F.array_contains("key", F.col("node")).alias("pivot"), F.explode("key").alias("u")).where("NOT pivot OR u < node")
 
 
 def _regions(stars: DataFrame, tried: DataFrame, eps: float) -> DataFrame:
