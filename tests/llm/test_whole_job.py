@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import near, quality, secrets, substrings
+from corvane.llm import near, quality, regions, secrets, substrings
 from tests.llm.test_corpus import removed
 
 
@@ -111,8 +111,11 @@ def test_groups_of_near_copies(spark, monkeypatch, few, n):
             rows.append(chain)
     rng.shuffle(rows)
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
-    monkeypatch.setattr(near, "PAIRS", few)
-    monkeypatch.setattr(near, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(regions, "PAIRS", few)
+    monkeypatch.setattr(regions, "PAIRS_PER_NODE", 0)
+    if few == 200:  # regions of more than 40 members are cut again
+        monkeypatch.setattr(regions, "WIDE", 8)
+        monkeypatch.setattr(regions.linked_components, "__defaults__", (3, 40, None))
     got = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n).collect()}
     assert got == brute_components(rows, n)
 
