@@ -109,23 +109,29 @@ def differences(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Da
 
 
 def _stars(rows: DataFrame, pivots: int) -> DataFrame:
-    """(key, u, node) for each pivot u of a key and each of its members that is no pivot, and for two pivots (u < node). Keys of the same pivots are one: what is near whom goes by the pivots alone."""
+    """(ps, node) for each member of a key with the pivots ps. Keys of the same pivots are one: what is near whom goes by the pivots alone."""
     by = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(pivots)]
     chosen = rows.groupBy("key").agg(F.count("*").alias("n_"), *by)
     several = F.array_distinct(F.array(*[f"p{i}" for i in range(pivots)]))
     chosen = chosen.select(F.col("key").alias("k_"), F.when(F.col("n_") >= WIDE, several).otherwise(F.array("p0")).alias("ps"))
-    both = rows.select("key", "node").join(chosen, F.col("key") == F.col("k_")).select(F.col("ps").alias("key"), "node").distinct()
-    return both.select("key", "node", F.array_contains("key", F.col("node")).alias("pivot"), F.explode("key").alias("u")).where("NOT pivot OR u < node")
+    return rows.select("key", "node").join(chosen, F.col("key") == F.col("k_")).select("ps", "node").distinct()
+
+
+def _pairs(stars: DataFrame) -> DataFrame:
+    """(u, v) for each pivot u and each member v that is no pivot, and for two pivots (u < v), each once."""
+    rows = stars.select(F.explode("ps").alias("u"), F.col("node").alias("v"), F.array_contains("ps", F.col("node")).alias("pivot"))
+    return rows.where("NOT pivot OR u < v").select("u", "v").distinct()
 
 
 def _regions(stars: DataFrame, tried: DataFrame, eps: float) -> DataFrame:
-    """(u, v, home) of members that are no pivots: their home and the regions within the window."""
+    """(u, v, home) of members that are no pivots: their home and the regions within the window. A member's distances are one row: it has met no more pivots than it has keys, times PIVOTS."""
     far = (2 * F.size("diff") / (F.col("nu") + F.col("nv") + F.size("diff"))).alias("dist")
-    known = tried.select(F.col("u").alias("u_"), F.col("v").alias("v_"), far)
-    rows = stars.where("NOT pivot").select("key", "u", "node").join(known, (F.col("u") == F.col("u_")) & (F.col("node") == F.col("v_"))).select("key", "u", "node", "dist")
-    near = rows.groupBy(F.col("key").alias("k_"), F.col("node").alias("n_")).agg(F.min(F.struct("dist", "u")).alias("near"))
-    rows = rows.join(near, (F.col("key") == F.col("k_")) & (F.col("node") == F.col("n_"))).where(F.col("dist") <= F.col("near.dist") + (2 * eps + 1e-9))
-    return rows.groupBy("u", F.col("node").alias("v")).agg(F.max(F.col("u") == F.col("near.u")).alias("home"))
+    known = tried.select("v", F.struct(far, "u").alias("x")).groupBy("v").agg(F.collect_list("x").alias("met"))
+    rows = stars.where(~F.array_contains("ps", F.col("node"))).join(known, F.col("node") == F.col("v"))
+    rows = rows.select("v", F.filter("met", lambda x: F.array_contains(F.col("ps"), x["u"])).alias("met")).withColumn("near", F.array_min("met"))
+    inside = F.filter("met", lambda x: x["dist"] <= F.col("near.dist") + (2 * eps + 1e-9))
+    rows = rows.select("v", "near", F.explode(inside).alias("x"))
+    return rows.groupBy(F.col("x.u").alias("u"), "v").agg(F.max(F.col("x.u") == F.col("near.u")).alias("home"))
 
 
 def _meetings(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -227,7 +233,7 @@ def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int
             return components(table(edges.unionByName(last)) if pairs else edges), turn
         turn += 1
         stars = table(_stars(rows, pivots))
-        tried = table(differences(stars.select("u", F.col("node").alias("v")).distinct(), sets, share))
+        tried = table(differences(_pairs(stars), sets, share))
         regions = _regions(stars, tried, eps).withColumnRenamed("u", "u_").withColumnRenamed("v", "v_")
         inside = table(tried.join(regions, (F.col("u") == F.col("u_")) & (F.col("v") == F.col("v_"))).drop("u_", "v_"))
         wide = inside.groupBy("u").agg(F.count("*").alias("n_"), F.min("linked").alias("all_"), F.max("home").alias("any_")).where("n_ > 1 AND NOT all_ AND any_").select(F.col("u").alias("w_"), (F.col("n_") > leaf).alias("wide"))

@@ -59,9 +59,10 @@ def test_jaccard_join(spark, families, monkeypatch, few):
         monkeypatch.setattr(regions, "PAIRS", 0)
         monkeypatch.setattr(regions, "PAIRS_PER_NODE", 0)
         monkeypatch.setattr(regions, "WIDE", 4)
-        monkeypatch.setattr(regions.linked_components, "__defaults__", (3, 20, None))
-    got = jaccard.jaccard_join(spark.createDataFrame(families, "doc_id long, text string"))
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(families, 3, 90, 100)
+        monkeypatch.setattr(regions.linked_components, "__defaults__", (3, 12, None))
+    rows = families if few else families[60:200]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows, 3, 90, 100)
 
 
 def test_linked_sets_send_common_keys():
