@@ -66,6 +66,7 @@ class Settings:
     breaker_seconds: int = 5
     cache_seconds: int = 300
     summary_chars: int = 600
+    max_cases: int = 48
 
     @property
     def parent(self) -> tuple[int, int]:

@@ -62,11 +62,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 for empty vectors, different lengths and zero vectors."""
-    return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b))).otherwise(0.0)
-
-
 def unit(a: Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
 
@@ -80,11 +75,5 @@ def hash_embedding(seed: Column, size: int = 32) -> Column:
     return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(seed + i * 13, F.lit(97)) / F.lit(97.0)))
 
 
-def last_stable_distinct(a: Column, most: int | None = None) -> Column:
-    """Distinct values in order of their first place."""
-    out = F.array_distinct(a)
-    return F.slice(out, 1, most) if most else out
-
-
 def url_quote(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

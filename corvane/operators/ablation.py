@@ -22,9 +22,9 @@ FORMS = 3
 
 def _forms(cases: DataFrame) -> DataFrame:
     """cases with ``forms``: the query and its rewrites, FORMS at most."""
-    more = understand.rewrites(F.col("query"), F.array().cast("array<string>"))
-    forms = F.when(F.array_contains(more, F.col("query")), more).otherwise(F.concat(F.array("query"), more))
-    return cases.withColumn("forms", F.slice(F.array_distinct(F.filter(F.transform(forms, strip), lambda x: x != "")), 1, FORMS))
+    rows = cases.withColumn("more", understand.rewrites(F.col("query"), F.array().cast("array<string>")))
+    forms = F.filter(F.transform(F.concat(F.array("query"), "more"), strip), lambda x: x != "")
+    return rows.withColumn("forms", F.slice(F.array_distinct(forms), 1, FORMS)).drop("more")
 
 
 def predictions(cases: DataFrame, chunks: DataFrame, k: int = 5, variants: tuple[str, ...] = VARIANTS, s: Settings = SETTINGS, words: tuple[str, ...] = TIME_WORDS_RETRIEVAL, provider: Callable | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import answer, gateway, index
+from corvane.config import VARIANTS
+from corvane.operators import ablation, answer, gateway, index
 from corvane.operators.retrieve import TIME_WORDS_RETRIEVAL
 from corvane.sources import reports, tables
 
@@ -93,6 +94,21 @@ def test_equal_scores_go_by_year_then_channel(spark, built):
     assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True) and got[0]["ord"] != 1
 
 
+def test_ablation_is_each_variant_alone(spark, built):
+    """Predictions of the shared plan are those of running each variant by itself."""
+    asked = spark.createDataFrame([("a", "住宿费每年多少"), ("b", "2024 招生公告")], "case_id string, query string")
+    got = {}
+    for r in ablation.predictions(asked, built, 2).orderBy("rank").collect():
+        got.setdefault((r["variant"], r["case_id"]), []).append(r["ord"])
+    alone = asked.select(F.when(F.col("case_id") == "a", 1).otherwise(2).cast("long").alias("query_id"), "query")
+    channels = index.channel_rows(alone, built, 12)
+    want = {"bm25_only": channels["sparse"], "dense_only": channels["dense"], "exact_only": channels["exact"], "rrf_hybrid_rewrite_off": index.hybrid(alone.withColumn("depth", F.lit(2)), built).withColumnRenamed("ord", "doc_id")}
+    for variant, rows in want.items():
+        for q, case in ((1, "a"), (2, "b")):
+            assert got.get((variant, case), []) == [r["doc_id"] for r in rows.where(f"query_id = {q} AND rank <= 2").orderBy("rank").collect()], variant
+    assert {v for v, _ in got} == set(VARIANTS) and got[("rrf_hybrid_small2big_off", "a")] == got[("rrf_hybrid_rewrite_off", "a")]
+
+
 def test_embedding_provider(spark):
     rows = spark.createDataFrame([(i, "t" * i) for i in range(40)], "id long, text string")
     sizes = index.embedded(rows, "text", lambda some: [[3.0 if len(some) <= 16 else 0.0, 4.0] for _ in some])

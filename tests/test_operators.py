@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.config import Settings
 from corvane.functions import text
-from corvane.operators import ann, deliver, evaluate, ingest, rank, retrieve, safety, scans, state, understand
+from corvane.operators import ann, deliver, evaluate, ingest, rank, retrieve, safety, scans, understand
 
 
 def test_windows_cover_the_text(spark):
