@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane import config as c
 from corvane.functions.text import url_quote
-from corvane.operators import ablation, answer, deliver, evaluate, gateway, index, ingest, retrieve, safety, scans, state, understand
+from corvane.operators import answer, deliver, evaluate, gateway, ingest, retrieve, safety, scans, state, understand
 from corvane.plans import retrieval as plans
 from corvane.plans.ingest import _SQ, _STRIP, RULES
-from corvane.sources.shared import written
 from corvane.sources.tables import corpus, read
 
 #: Small talk of the test conversations, which have none of the default words.
@@ -156,11 +155,18 @@ def bucket_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ablation_variants(spark: SparkSession, d: str) -> DataFrame:
-    """All nine variants over the index of chunks, for the first 48 cases that it gives (the number of cases is a setting of the ablation)."""
-    chunks = written(index.embedded(index.chunk_rows(corpus(read(spark, d, "documents")), rules=RULES), "page_content"))
-    rows = chunks.select("chunk_id", "chunk_level", "parent_id", "topic", "chunk_text", F.col("queries").alias("query_expansions"), "ord")
-    cases = written(evaluate.retrieval_cases(rows, c.SETTINGS.max_cases))
-    return ablation.ablation(cases, chunks, 5, words=plans.WORDS)
+    """Metrics of each channel alone and of all fused, for the benchmark's texts; relevant are documents that hold the item whole."""
+    docs, queries = plans._docs(spark, d), plans._queries(spark, d)
+    channels = {"bm25": retrieve.bm25(queries, docs, 12), "exact": retrieve.exact(queries, docs, 12), "sparse": retrieve.sparse_overlap(queries, docs, 12)}
+    fused = retrieve.fuse({"sparse": channels["sparse"], "exact": channels["exact"]})
+    channels["rrf"] = retrieve.top(fused, 12, F.desc("rrf"), F.col("first.channel"), F.col("first.r"))
+    truth = channels["exact"].where("score >= 2.5").groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))
+    cases = truth.select(F.col("query_id").alias("case_id"), F.lit("all").alias("category"), "relevant")
+    out = None
+    for name, rows in channels.items():
+        one = evaluate.summarize(evaluate.ranking_metrics(cases, rows.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("id"), "rank"), 5)).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
