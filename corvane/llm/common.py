@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task turns into arrays at a time.
 CHUNK_BYTES = 2 << 20
+#: Spark's switch that removes a query's shuffle files at its end; no later step reads those of a written table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """``df`` as a written table: it cuts the lineage and survives lost executors."""
+    """``df`` as a written table: it cuts the lineage and survives lost executors. Shuffle files of its plan go as soon as it is written."""
     spark, path, schema = df.sparkSession, shared_dir(df.sparkSession), df.schema
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files of plans only once the driver's JVM has collected them
