@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, columns, forget, mix, read, rolling, table, utf8
 
-ORDER, PASSES, LEARN_PASSES, SLICES = 2, 3, 2, 4
+ORDER, PASSES, LEARN_PASSES, SLICES = 2, 6, 2, 2
 QUANTILE, LEAST, EVIDENCE = 0.997, 100, math.log(6)
 #: Text that a task sums at a time; text for each shard of the model; labels of at most so many rows are broadcast, more are joined by shuffle.
 BATCH_BYTES, SHARD_BYTES, BROADCAST_ROWS = 5 << 19, 16 << 20, 2_000_000
@@ -117,7 +117,7 @@ def _parts(g: np.ndarray, shards: int) -> np.ndarray:
 
 
 def gram_counts(rows: DataFrame, order: int, turn: int, passes: int) -> DataFrame:
-    """(k, context, suffix, code, n, df) of the grams of a pass, from (text, seed, code, good); of rejected text only pairs of words, as k = -2, for their contexts."""
+    """(k, context, suffix, code, n, df) of the grams of a pass (longer ones by their context), from (text, seed, code, good); of rejected text only pairs of words, as k = -2, for their contexts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _batches(batches):
@@ -126,10 +126,10 @@ def gram_counts(rows: DataFrame, order: int, turn: int, passes: int) -> DataFram
                 good, code = t["good"].to_numpy(), t["code"].to_numpy()
                 made = all_grams(stream, sizes, t["seed"].to_numpy().view(np.uint64), order)
             for k, (g, context, suffix, place) in enumerate(made, 1):
-                here = _parts(g, passes) == turn
+                here = _parts(g if k == 1 else context, passes) == turn
                 for kind in (k, -2) if k == 2 else (k,):
                     mine = np.flatnonzero(here & (good[place] == (kind > 0)))
-                    by = mine[np.lexsort((place[mine], g[mine]))]
+                    by = mine[np.argsort(g[mine], kind="stable")]  # texts of a gram stay in order
                     key, doc = g[by], place[by]
                     if not len(key):
                         continue
@@ -168,12 +168,11 @@ def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int =
 
     A word has the documents and contexts that hold it, and is a ``word`` if a trusted document predicts it, as START is not.
     """
-    counts = None
-    for turn in range(turns):
-        part = table(gram_counts(docs, order, turn, turns))
-        counts = part if counts is None else counts.unionByName(part)
+    counted = [table(gram_counts(docs, order, turn, turns)) for turn in range(turns)]
+    counts = reduce(DataFrame.unionByName, counted)
     of = lambda k: counts.where(F.col("k") == k)
     left, spare = {}, {}
+    seen = table(of(-2).groupBy(F.col("suffix").alias("x_")).agg(F.count("*").alias("contexts")))
 
     def spared(rows: DataFrame, d: DataFrame) -> DataFrame:
         rows = rows.join(d, F.col("code") == F.col("d_code"))
@@ -193,9 +192,9 @@ def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int =
         d = table(discounts(rows))
         totals = spared(rows.where("n IS NOT NULL"), d).groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("spared"), F.count("*").alias("kinds"))
         left[k] = table(totals.select(F.col("context").alias("c_"), "total", (F.col("spared") / F.col("total")).alias("left"), "kinds"))
-        parts = range(slices) if k == order else [None]
-        for turn in parts:  # the longest grams are the most: a share of their contexts at a time
-            some = rows if turn is None else rows.where(F.pmod(F.xxhash64("context"), F.lit(slices)) == turn)
+        parts = [(turn, i) for turn in range(turns) for i in range(slices)] if k == order else [None]
+        for part in parts:  # the longest grams are the most: a share of their contexts at a time, and their counts go when they have been used
+            some = rows if part is None else counted[part[0]].where((F.col("k") == k) & (F.pmod(F.xxhash64("context"), F.lit(slices)) == part[1])).drop("k")
             some = spared(some, d).join(left[k], F.col("context") == F.col("c_"))
             if k == 1:
                 some = some.withColumn("p", (F.col("n") - F.col("d")) / F.col("total") + F.col("left") / (F.col("kinds") + 1)).withColumn("step", F.log("p"))
@@ -205,13 +204,14 @@ def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int =
                 some = some.join(below, F.col("suffix") == F.col("b_"))
                 some = some.withColumn("p", (F.col("n") - F.col("d")) / F.col("total") + F.col("left") * F.col("q"))
                 some = some.withColumn("step", F.log("p") - F.log("q") - F.when(F.col("left") > 0, F.log("left")).otherwise(0.0))
-            if turn is None:
+            if part is None:
                 known = table(some.select("g", "p", "step", "df"))
                 spare[k] = known
             else:
                 longest = _hashed(some.select("context", "suffix", F.col("step").alias("value"), F.col("df").cast("long").alias("df")))
                 out.append(table(longest.select("g", F.lit(False).alias("word"), "value", "df", F.lit(0).cast("long").alias("contexts"))))
-    seen = of(-2).groupBy(F.col("suffix").alias("x_")).agg(F.count("*").alias("contexts"))
+                if part[1] == slices - 1:
+                    forget(counted[part[0]])
     for k in range(1, order):
         side = left[k + 1].where("left > 0").select("c_", F.log("left").alias("l_"))
         rows = spare[k].join(side, F.col("g") == F.col("c_"), "left").withColumn("value", F.coalesce("step", F.lit(0.0)) + F.coalesce("l_", F.lit(0.0)))
@@ -221,10 +221,19 @@ def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int =
             rows = rows.withColumns({"word": F.lit(False), "contexts": F.lit(0)})
         zero = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c)
         out.append(table(rows.select("g", "word", zero("value", "double"), zero("df", "long"), zero("contexts", "long"))))
-    forget(counts, *left.values(), *spare.values())
+    forget(seen, *left.values(), *spare.values())
     return out, new
 
 
+def _repeats(pairs: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+    """How many pairs of words of each text occur before in their block of ``REPEAT_SPAN`` words."""
+    block = pairs ^ mix((of.astype(np.uint64) << np.uint64(32)) + ((np.arange(len(pairs)) - np.searchsorted(of, of)) // REPEAT_SPAN).astype(np.uint64))
+    by = np.argsort(block, kind="stable")
+    twice = np.zeros(len(block), bool)
+    twice[by[1:]] = block[by[1:]] == block[by[:-1]]
+    return np.bincount(of, twice, texts)
+
+
 def _packed(rows: DataFrame, order: int, shards: int, turn: int, passes: int) -> DataFrame:
     """Grams of a pass and where they occur: for each task's batch and shard a row of packed arrays, from (key, text, seed, good)."""
 
@@ -237,20 +246,23 @@ def _packed(rows: DataFrame, order: int, shards: int, turn: int, passes: int) ->
                 seeds = t["seed"].to_numpy().view(np.uint64)
                 every = all_grams(stream, sizes, seeds, order)
                 made = [(x[0], x[3]) for x in every]
-                pairs, of = made[1]
-                block = pairs ^ mix((of.astype(np.uint64) << np.uint64(32)) + ((np.arange(len(pairs)) - np.searchsorted(of, of)) // REPEAT_SPAN).astype(np.uint64))
-            by = np.argsort(block, kind="stable")
-            twice = np.zeros(len(block), bool)
-            twice[by[1:]] = block[by[1:]] == block[by[:-1]]
-            repeats = np.bincount(of, twice, len(sizes))
-            del every, block, pairs, of, stream
+                repeats = _repeats(*made[1], len(sizes)) if turn == 0 else np.zeros(len(sizes))  # sent once, with sizes
+            del every, stream
             g, place = np.concatenate([x for x, _ in made]), np.concatenate([x for _, x in made])
             here = _parts(g, shards)
             keep = here % passes == turn
             g, place, here = g[keep], place[keep], here[keep]
             g &= SENT
-            by = np.lexsort((place, g, here))
-            g, place, here = g[by], place[by], here[by]
+            if len(sizes) <= 1 << 16:  # a gram and its text fit 64 bits, sorted shard by shard
+                by = np.argsort(here.astype(np.uint16) if shards <= 1 << 16 else here, kind="stable")
+                here, both = here[by], ((g << np.uint64(16)) | place.astype(np.uint64))[by]
+                cuts = np.flatnonzero(np.diff(here, prepend=-1, append=-1))
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    both[lo:hi].sort()
+                g, place = both >> np.uint64(16), both & np.uint64((1 << 16) - 1)
+            else:
+                by = np.lexsort((place, g, here))
+                g, place, here = g[by], place[by], here[by]
             cell = np.append(True, (g[1:] != g[:-1]) | (place[1:] != place[:-1]) | (here[1:] != here[:-1])) if len(g) else np.zeros(0, bool)
             at = np.flatnonzero(cell)
             n = np.diff(np.append(at, len(g))).astype(np.uint32)
