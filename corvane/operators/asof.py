@@ -37,17 +37,36 @@ def blocks_of_day(day: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: F.struct(level.cast("int").alias("level"), F.floor(day / F.pow(F.lit(2.0), level)).cast("long").alias("block")))
 
 
-def in_force(requests: DataFrame, rows: DataFrame, day: str = "as_of", first: str = "effective_date", last: str = "expire_date") -> DataFrame:
-    """Each request (with its other columns) beside each of ``rows`` that held on its day. A row with neither end known holds on no day; requests without a day meet nothing. Columns of the two must differ in name."""
+def _cut(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """``rows`` for each block of their range (level_, block_)."""
     known = rows.withColumns({"from_": day_number(F.col(first)), "to_": day_number(F.col(last))}).where("from_ IS NOT NULL OR to_ IS NOT NULL")
     ends = F.coalesce("from_", F.lit(0)), F.coalesce("to_", F.lit((1 << LEVELS) - 1))
-    cut = known.withColumn("b_", F.explode(blocks_of_range(*ends))).withColumns({"level_": F.col("b_.level"), "block_": F.col("b_.block")}).drop("from_", "to_", "b_")
+    return known.withColumn("b_", F.explode(blocks_of_range(*ends))).withColumns({"level_": F.col("b_.level"), "block_": F.col("b_.block")}).drop("from_", "to_", "b_")
+
+
+def _asked(requests: DataFrame, day: str) -> DataFrame:
+    """``requests`` for each block of their day (at_level_, at_block_)."""
     asked = requests.withColumn("day_", day_number(F.col(day))).where("day_ IS NOT NULL")
-    asked = asked.withColumn("q_", F.explode(blocks_of_day(F.col("day_")))).withColumns({"at_level_": F.col("q_.level"), "at_block_": F.col("q_.block")}).drop("day_", "q_")
+    return asked.withColumn("q_", F.explode(blocks_of_day(F.col("day_")))).withColumns({"at_level_": F.col("q_.level"), "at_block_": F.col("q_.block")}).drop("day_", "q_")
+
+
+def _met(asked: DataFrame, cut: DataFrame) -> DataFrame:
     return asked.join(cut, (F.col("at_level_") == F.col("level_")) & (F.col("at_block_") == F.col("block_"))).drop("level_", "block_", "at_level_", "at_block_")
 
 
+def in_force(requests: DataFrame, rows: DataFrame, day: str = "as_of", first: str = "effective_date", last: str = "expire_date") -> DataFrame:
+    """Each request (with its other columns) beside each of ``rows`` that held on its day. A row with neither end known holds on no day; requests without a day meet nothing. Columns of the two must differ in name."""
+    return _met(_asked(requests, day), _cut(rows, first, last))
+
+
 def latest_in_force(requests: DataFrame, rows: DataFrame, by: str, request: str, key: str, day: str = "as_of", first: str = "effective_date", last: str = "expire_date") -> DataFrame:
-    """For each request and value of ``by``: how many rows held on the day, and the key of the one that came into force last (ties to the smaller key)."""
-    found = in_force(requests.select(request, day), rows.select(by, key, first, last), day, first, last)
-    return found.groupBy(request, by).agg(F.count("*").alias("in_force"), F.max_by(key, F.struct(first, -F.col(key))).alias("latest"))
+    """For each request and value of ``by``: how many rows held on the day, and the key of the one that came into force last (ties to the smaller key).
+
+    A day meets a range in one block, so numbers and last ones of a block's rows add up to those of a day: rows become a row for each block and ``by``, which the days
+    that occur meet once each, however many requests a day has; no request meets a row."""
+    order = F.struct(F.col(first), -F.col(key))
+    blocks = _cut(rows.select(by, key, first, last), first, last).groupBy("level_", "block_", by).agg(F.count("*").alias("in_force"), F.max_by(key, order).alias("latest"), F.max(order).alias("last_"))
+    asked = requests.repartition(request).groupBy(request, day).agg(F.count("*").alias("times_"))
+    days = _met(_asked(asked.select(F.col(day).alias("of_")).distinct(), "of_"), blocks).groupBy("of_", by).agg(F.sum("in_force").alias("in_force"), F.max_by("latest", "last_").alias("latest"), F.max("last_").alias("last_"))
+    found = asked.join(days, F.col(day) == F.col("of_"))
+    return found.groupBy(request, by).agg(F.sum(F.col("in_force") * F.col("times_")).alias("in_force"), F.max_by("latest", "last_").alias("latest"))
