@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from corvane.operators import asof
+from pyspark.sql import functions as F
+
+from corvane.operators import ann, asof, retrieve
 
 
 def shuffled(spark, run):
@@ -33,3 +35,97 @@ def test_requests_of_a_day_meet_rows_once(spark):
     got, n = shuffled(spark, lambda: asof.latest_in_force(asked, rows, "topic", "query_id", "doc_id"))
     assert {(x["query_id"], x["topic"]): (x["in_force"], x["latest"]) for x in got} == {k: (n, -b[1]) for k, (n, b) in want.items()}
     assert n < 40_000  # requests by rows in force are 700,000
+
+
+def vectors(spark, n: int, dims: int = 8):
+    """Few different components, so that scores tie, and rows that hold no vector."""
+    x = np.random.default_rng(7).integers(-3, 4, (n, dims)) / 4
+    x[0] = 0
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    return x, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def best(scores: np.ndarray, k: int, names) -> list:
+    order = sorted((j for j in names if scores[j] > -np.inf), key=lambda j: (-scores[j], j))
+    return order[:k]
+
+
+def test_cosine_keeps_rows_by_task(spark):
+    x, rows = vectors(spark, 3000)
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    holes = spark.createDataFrame([(9000, None), (9001, [1.0, None] + [0.0] * 6)], rows.schema)
+    size = np.sqrt((x * x).sum(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got, n = shuffled(spark, lambda: retrieve.cosine_top(queries, rows.unionByName(holes), 6))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in range(0, 3000, 20):
+        s = np.round(np.divide(x @ x[q], size * size[q], out=np.zeros(len(x)), where=size * size[q] > 0), 9)
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best(s, 6, range(len(x)))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert n <= 150 + 3002 + 150 * 6 * tasks  # a batch of 20 rows gave 6 of each query before
+
+
+def test_lsh_gives_the_rows_of_the_join(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    _, rows = vectors(spark, 1500)
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    as_vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("v")
+    every, ask = rows.select("vec_id", as_vector), queries.select("query_id", as_vector)
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=2, seed=11).fit(every)
+    pairs = lsh.approxSimilarityJoin(ask, every, 1.2, "d").select(F.col("datasetA.query_id").alias("q"), F.col("datasetB.vec_id").alias("v"), F.round("d", 9).alias("d")).collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (r["q"], r["d"], r["v"])):
+        want.setdefault(r["q"], []).append((r["v"], r["d"]))
+    got, n = shuffled(spark, lambda: retrieve.lsh_top(queries, rows, 5, 0.5, 2, 1.2))
+    have = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        have.setdefault(r["query_id"], []).append((r["vec_id"], r["distance"]))
+    assert have == {q: v[:5] for q, v in want.items()}
+    assert n <= 75 + 1500 + 75 * 5 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_dot_products_in_one_pass(spark):
+    family = ann.Family(dims=8)
+    x, rows = vectors(spark, 900)
+    queries = rows.where("vec_id < 700").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = ann.dot_top(queries, rows, 4, family)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one for each 512 queries before
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    scores = np.round(x[:700] @ x.T, 9)
+    assert found == {q: best(scores[q], 4, [j for j in range(900) if j != q]) for q in range(700)}
+
+
+def test_sweep_scans_once(spark):
+    family = ann.Family(dims=8)
+    x, rows = vectors(spark, 700)
+    queries = rows.where("vec_id < 600").select(F.col("vec_id").alias("query_id"), "embedding")
+    swept = ann.sweep_by_query(queries, rows, 3, family)
+    assert "MapInArrow" not in swept._jdf.queryExecution().optimizedPlan().toString()  # the pass was run for counts and for hits, for each 512 queries
+    h = family.hashes(x)
+    got = {(r["query_id"], r["tables"], r["level"]): (r["candidates"], r["others"]) for r in swept.collect()}
+    for q in range(0, 600, 37):
+        for tables in (1, 4, 8):
+            for level in range(6):
+                same = ((h >> level) == (h[q] >> level)).reshape(len(x), 8, 2).all(2)[:, :tables].any(1)
+                assert got[q, tables, level] == (same.sum() - 1, 699)
+
+
+def test_bucket_search_without_rows_of_candidates(spark):
+    family = ann.Family(dims=8)
+    x, rows = vectors(spark, 900)
+    queries = rows.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = ann.search(queries, rows, 4, 3, 1, family)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    h, scores = family.hashes(x), np.round(x @ x.T, 9)
+    for q in range(0, 900, 9):
+        met = ((h >> 1) == (h[q] >> 1)).reshape(900, 8, 2).all(2)[:, :3].any(1)
+        assert found.get(q, []) == best(scores[q], 4, [j for j in range(900) if j != q and met[j]])
