@@ -129,3 +129,22 @@ def test_bucket_search_without_rows_of_candidates(spark):
     for q in range(0, 900, 9):
         met = ((h >> 1) == (h[q] >> 1)).reshape(900, 8, 2).all(2)[:, :3].any(1)
         assert found.get(q, []) == best(scores[q], 4, [j for j in range(900) if j != q and met[j]])
+
+
+def test_all_queries_in_one_scan_of_documents(spark):
+    r = random.Random(1)
+    words = ["".join("abcdefghij"[int(c)] for c in f"{i:03}") for i in range(400)]
+    text = lambda n: " ".join(words[min(int(r.expovariate(0.02)), 399)] for _ in range(n))
+    docs, queries = [(i, text(r.randrange(0, 30))) for i in range(700)], [(i, text(5)) for i in range(1500)] + [(1500, "nothing"), (1501, None)]
+    got = retrieve.sparse_overlap(spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(docs, "doc_id long, text string"), 4)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # documents were cut into tokens for each 1,024 queries at most
+    found = {}
+    for x in sorted(got.collect(), key=lambda x: x["rank"]):
+        found.setdefault(x["query_id"], []).append((x["doc_id"], x["score"]))
+    assert len(found) == 1502
+    for q, query in queries[:1500:50] + queries[-2:]:
+        scores = []
+        for i, t in docs:
+            have, asked = t.split(), (query or "").split()
+            scores.append((-round(sum(min(have.count(w), 4) for w in asked) / max(len(have), 1), 9), i))
+        assert found[q] == [(i, -s) for s, i in sorted(scores)[:4]]
