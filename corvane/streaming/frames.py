@@ -33,31 +33,25 @@ def parse(rest: bytes, piece: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 
 class _Frames(StatefulProcessor):
+    """All that a session holds is one value, read and written once a micro-batch: each call to the state costs far more than a piece."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next long, frames long, rest binary")
-        self.ahead = handle.getMapState("ahead", "seq long", "piece binary")
+        self.place = handle.getValueState("place", "next long, frames long, rest binary, seqs array<bigint>, pieces array<binary>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_, count, rest = self.place.get() if self.place.exists() else (0, 0, b"")
-        new = {int(s): bytes(p) for frame in rows for s, p in zip(frame["seq"], frame["piece"], strict=True)}
-        out, rest = [], bytes(rest)
-        for seq in sorted(s for s in new if s > next_):
-            self.ahead.updateValue((seq,), (new[seq],))
-        while True:
-            if next_ in new:
-                piece = new[next_]
-            elif self.ahead.containsKey((next_,)):
-                piece = bytes(self.ahead.getValue((next_,))[0])
-            else:
-                break
-            if self.ahead.containsKey((next_,)):
-                self.ahead.removeKey((next_,))
-            frames, rest = parse(rest, piece)
-            for event, data in frames:
-                out.append((key[0], count, event, data))
-                count += 1
+        next_, count, rest, seqs, pieces = self.place.get() or (0, 0, b"", [], [])
+        held = {int(s): bytes(p) for s, p in zip(seqs, pieces, strict=True)}  # pieces ahead
+        for frame in rows:
+            held.update((int(s), bytes(p)) for s, p in zip(frame["seq"], frame["piece"], strict=True) if s >= next_)
+        out, rest, ready = [], bytes(rest), []
+        while next_ in held:
+            ready.append(held.pop(next_))
             next_ += 1
-        self.place.update((next_, count, rest))
+        frames, rest = parse(rest, b"".join(ready))
+        for event, data in frames:
+            out.append((key[0], count, event, data))
+            count += 1
+        self.place.update((next_, count, rest, list(held), list(held.values())))
         yield pd.DataFrame(out, columns=["session", "n", "event", "data"], dtype=object)
 
     def close(self) -> None:

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from pyspark.sql import functions as F
 
 from corvane.operators import ann, asof, retrieve
+from corvane.streaming import frames
 
 
 def shuffled(spark, run):
@@ -169,3 +171,36 @@ def test_parents_without_rows_of_common_words(spark):
                 best_of[parent] = min(best_of.get(parent, (0, 0)), (-s, i))
         assert found[q] == [(p, -s) for p, (s, _) in sorted(best_of.items(), key=lambda x: x[1])[:3]]
     assert n < 8_000  # 52,887 before
+
+
+def test_frames_call_the_state_twice_a_batch():
+    calls = []
+
+    class Held:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.value = args[0]
+                return self.value if name == "get" else self.value is not None and name == "exists"
+
+            return call
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        getMapState = getValueState
+
+    stream = "".join(f"event: delta\r\ndata: {i}é\r\n\r\n" for i in range(50)).encode()
+    pieces = [(i, stream[at : at + 3]) for i, at in enumerate(range(0, len(stream), 3))]
+    machine, got = frames._Frames(), []
+    machine.init(Handle())
+    for part in (1, 2, 0):
+        mine = pd.DataFrame([x for x in pieces if x[0] % 3 == part][::-1], columns=["seq", "piece"])
+        for out in machine.handleInputRows((4,), iter([mine, mine]), None):
+            got += out.itertuples(index=False, name=None)
+    assert got == [(4, i, "delta", f"{i}é") for i in range(50)]
+    assert len(calls) == 6  # several for each piece before
