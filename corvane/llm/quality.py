@@ -26,12 +26,14 @@ should be a table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ QUANTILE, LEAST, EVIDENCE = 0.997, 100, math.log(6)
 BATCH_BYTES, SHARD_BYTES, BROADCAST_ROWS = 5 << 19, 16 << 20, 2_000_000
 #: Bits of a gram's hash that are sent; its shard holds others. A shard's grams don't grow with the input, so a foreign gram is met with probability 1e-8 at most.
 SENT = np.uint64((1 << 48) - 1)
+PACKED_ROWS = 1 << 19
 REPEAT_SPAN = 64
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 _MULTIPLY = np.random.default_rng(2024).integers(1, 2**62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,8 +166,9 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(f, rows.withColumn("g", F.lit(0).cast("long")).schema)
 
 
-def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int = SLICES) -> tuple[list[DataFrame], DataFrame]:
-    """From (text, seed, code, good) of labelled documents (code: a small number for the language): for each order the model (g, word, value, df, contexts), written part by part, and (seed, new): log-probability of an unknown word by language.
+def model(docs: DataFrame, order: int, shards: int, passes: int, turns: int = LEARN_PASSES, slices: int = SLICES) -> tuple[list[DataFrame], DataFrame]:
+    """From (text, seed, code, good) of labelled documents (code: a small number for the language): for each order the model (g, word, value, df, contexts), packed by shard and written part by part,
+    and (seed, new): log-probability of an unknown word by language.
 
     A word has the documents and contexts that hold it, and is a ``word`` if a trusted document predicts it, as START is not.
     """
@@ -208,8 +212,7 @@ def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int =
                 known = table(some.select("g", "p", "step", "df"))
                 spare[k] = known
             else:
-                longest = _hashed(some.select("context", "suffix", F.col("step").alias("value"), F.col("df").cast("long").alias("df")))
-                out.append(table(longest.select("g", F.lit(False).alias("word"), "value", "df", F.lit(0).cast("long").alias("contexts"))))
+                out.append(table(_sharded(some.select("context", "suffix", F.col("step").alias("value"), F.col("df").cast("long").alias("df")), shards, passes), by="turn"))
                 if part[1] == slices - 1:
                     forget(counted[part[0]])
     for k in range(1, order):
@@ -220,7 +223,7 @@ def model(docs: DataFrame, order: int, turns: int = LEARN_PASSES, slices: int =
         else:
             rows = rows.withColumns({"word": F.lit(False), "contexts": F.lit(0)})
         zero = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c)
-        out.append(table(rows.select("g", "word", zero("value", "double"), zero("df", "long"), zero("contexts", "long"))))
+        out.append(table(_sharded(rows.select("g", "word", zero("value", "double"), zero("df", "long"), zero("contexts", "long")), shards, passes), by="turn"))
     forget(seen, *left.values(), *spare.values())
     return out, new
 
@@ -238,8 +241,9 @@ def _packed(rows: DataFrame, order: int, shards: int, turn: int, passes: int) ->
     """Grams of a pass and where they occur: for each task's batch and shard a row of packed arrays, from (key, text, seed, good)."""
 
     mine = np.arange(turn, shards, passes, dtype=np.int32)
+    names = ["batch", "shard", "grams", "cells", "docs", "counts", "good", "keys", "size", "again"]
 
-    def packed(t: pa.Table) -> Iterator[pa.RecordBatch]:  # its arrays go with it, before the next batch's are made
+    def packed(t: pa.Table, batch: int) -> Iterator[pa.RecordBatch]:  # its arrays go with it, before the next batch's are made
         keys, good = t["key"].to_numpy(), t["good"].to_numpy().astype(np.uint8)
         with np.errstate(over="ignore"):
             stream, sizes = word_stream(*utf8(t["text"]))
@@ -268,77 +272,123 @@ def _packed(rows: DataFrame, order: int, shards: int, turn: int, passes: int) ->
         at = np.flatnonzero(cell)
         n = np.diff(np.append(at, len(g))).astype(np.uint32)
         g, place, here = g[at], place[at].astype(np.uint32), here[at]
-        texts = np.flatnonzero(sizes > 0)
-        home = (keys[texts].view(np.uint64) % np.uint64(len(mine))).astype(np.int64)
+        if not sizes.any():
+            return
+        place = place.astype(np.uint16 if len(sizes) <= 1 << 16 else np.uint32)
+        marks = np.packbits(good).tobytes()
+        home = int(mine[batch % len(mine)])  # has the batch's documents; their sizes go once
+        told = [x.tobytes() for x in (keys, *((sizes - (sizes > 0), repeats / np.maximum(sizes - 1, 1)) if turn == 0 else (np.zeros(len(sizes), np.int64), repeats)))]
         bounds = np.searchsorted(here, np.append(mine, shards))
         for j, shard in enumerate(mine.tolist()):
             i0 = bounds[j]
             i1 = int(np.searchsorted(here, shard, "right"))
-            own = texts[home == j] if turn == 0 else texts[:0]  # sizes go once
-            if i0 == i1 and not len(own):
+            if i0 == i1 and shard != home:
                 continue
             gs, ps, ns = g[i0:i1], place[i0:i1], n[i0:i1]
             start = np.append(True, gs[1:] != gs[:-1]) if len(gs) else np.zeros(0, bool)
-            held, local = np.unique(np.concatenate([ps, own.astype(np.uint32)]), return_inverse=True)
-            tell = np.zeros(len(held), np.int32)
-            again = np.zeros(len(held), np.float32)
-            at_own = local[len(ps) :]
-            tell[at_own], again[at_own] = sizes[own] - 1, repeats[own] / (sizes[own] - 1)
-            narrow = np.uint16 if len(held) <= 1 << 16 else np.uint32
             cells = np.diff(np.append(np.flatnonzero(start), len(gs))).astype(np.uint32)
             planes = np.ascontiguousarray(gs[start].view(np.uint8).reshape(-1, 8)[:, :6].T)  # bytes of a place together: the highest are in runs
-            row = [np.array(shard), planes, cells, local[: len(ps)].astype(narrow), ns.astype(np.uint16 if int(ns.max(initial=0)) < 1 << 16 else np.uint32), keys[held], good[held], tell, again]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in row[1:]]], ["shard", "grams", "cells", "docs", "counts", "keys", "good", "size", "again"])
+            row = [x.tobytes() for x in (planes, cells, ps, ns.astype(np.uint16 if int(ns.max(initial=0)) < 1 << 16 else np.uint32))]
+            row += [marks, *(told if shard == home else (None, None, None))]
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], names)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _batches(batches):
-            yield from packed(t)
+        task = TaskContext.get().partitionId()
+        for i, t in enumerate(_batches(batches)):
+            # a task that runs again and gets its rows in another order gives other batches
+            name = hashlib.blake2b(t["key"].to_numpy().tobytes() + f"{task} {i}".encode(), digest_size=8).digest()
+            yield from packed(t, int.from_bytes(name, "little", signed=True))
 
-    schema = "shard int, grams binary, cells binary, docs binary, counts binary, keys binary, good binary, size binary, again binary"
+    schema = "batch long, shard int, grams binary, cells binary, docs binary, counts binary, good binary, keys binary, size binary, again binary"
     return rows.select("key", "text", "seed", "good").mapInArrow(f, schema)
 
 
 def _met(packed: DataFrame, known: DataFrame) -> DataFrame:
-    """Sums of a shard by document (key): value, found (words that the model knows), contrast, size, again, copies."""
-    names = ["key", "value", "found", "contrast", "size", "again", "copies"]
+    """Sums of a turn by document (key): value, found (words that the model knows), contrast, size, again, copies.
+
+    A shard gives a row back for each batch, with the sums of its documents packed; those of a batch are added up in one task. A document thus has one row a turn, however many shards there are.
+    """
+    names = ["batch", "docs", "value", "found", "strange", "contrast", "keys", "size", "again"]
 
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
-        known_g = right["g"].to_numpy().view(np.uint64) & SENT
-        by = np.argsort(known_g)
+        of = lambda c, t: np.frombuffer(b"".join(right[c].to_pylist()), t)
+        known_g = of("g", np.uint64)
+        by = np.argsort(known_g, kind="stable")
         known_g = known_g[by]
-        word, value, df, contexts = (right[c].to_numpy()[by] for c in ("word", "value", "df", "contexts"))
+        word, value, df, contexts = (of(c, t)[by] for c, t in (("word", np.uint8), ("value", np.float64), ("df", np.int64), ("contexts", np.int64)))
         out = []
-        for raw in zip(*(left[c] for c in ("grams", "cells", "docs", "counts", "keys", "good", "size", "again")), strict=True):
+        for raw in zip(*(left[c] for c in ("grams", "cells", "docs", "counts", "good")), strict=True):
             planes = np.frombuffer(raw[0].as_buffer(), np.uint8).reshape(6, -1)
             g = np.zeros((planes.shape[1], 8), np.uint8)
             g[:, :6] = planes.T
             g = g.view(np.uint64).ravel()
-            cells, keys, good, size, again = (np.frombuffer(raw[i].as_buffer(), t) for i, t in ((1, np.uint32), (4, np.int64), (5, np.uint8), (6, np.int32), (7, np.float32)))
-            doc = np.frombuffer(raw[2].as_buffer(), np.uint16 if len(keys) <= 1 << 16 else np.uint32)
-            n = np.frombuffer(raw[3].as_buffer(), np.uint16 if len(raw[3].as_buffer()) == 2 * len(doc) else np.uint32).astype(np.float64)
-            at = np.searchsorted(known_g, g)
-            at[at == len(known_g)] = 0
-            hit = known_g[at] == g if len(known_g) else np.zeros(len(g), bool)
-            at, hit = np.repeat(at, cells)[np.repeat(hit, cells)], np.repeat(hit, cells)
-            doc, n = doc[hit].astype(np.int64), n[hit]
+            cells = np.frombuffer(raw[1].as_buffer(), np.uint32)
+            total = int(cells.sum(dtype=np.int64))
+            doc, n = (np.frombuffer(raw[i].as_buffer(), np.uint16 if len(raw[i].as_buffer()) == 2 * total else np.uint32) for i in (2, 3))
+            good = np.unpackbits(np.frombuffer(raw[4].as_buffer(), np.uint8)).astype(np.int64)
+            if len(known_g):
+                at = np.searchsorted(known_g, g)
+                at[at == len(known_g)] = 0
+                hit = known_g[at] == g
+            else:
+                at, hit = np.zeros(len(g), np.int64), np.zeros(len(g), bool)
+            at, hit = np.repeat(at[hit], cells[hit]), np.repeat(hit, cells)
+            doc, n = doc[hit], n[hit].astype(np.float64)
             others = df[at] - good[doc]  # trusted documents but this one
             seen = others > 0
-            ratio = np.maximum(np.log((contexts[at] + 0.5) / (np.maximum(others, 0) + 0.5)) - EVIDENCE, 0)
-            sums = [np.bincount(doc, w, len(keys)) for w in (value[at] * n * seen, n * (word[at] & seen), ratio)]
-            out.append(pa.table([pa.array(keys), *[pa.array(np.asarray(x, np.float64)) for x in (*sums, size, again, size > 0)]], names=names))
-        return pa.concat_tables(out) if out else pa.table({n: pa.array([], pa.int64() if n == "key" else pa.float64()) for n in names})
-
-    schema = "key long, " + ", ".join(f"{n} double" for n in names[1:])
-    return packed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(f, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names[1:]])
-
+            rare = np.flatnonzero(contexts[at])
+            ratio = np.maximum(np.log((contexts[at[rare]] + 0.5) / (np.maximum(others[rare], 0) + 0.5)) - EVIDENCE, 0)
+            rare, ratio = rare[ratio > 0], ratio[ratio > 0]
+            sums = [np.bincount(doc, w, len(good)) for w in (value[at] * n * seen, n * (word[at] & seen))]
+            held = np.flatnonzero((sums[0] != 0) | (sums[1] != 0)).astype(doc.dtype)
+            out.append([x.tobytes() for x in (held, sums[0][held], sums[1][held].astype(np.uint32), doc[rare], ratio)])
+        arrays = [pa.array([x[i] for x in out], pa.binary()) for i in range(5)]
+        return pa.table([left["batch"], *arrays, left["keys"], left["size"], left["again"]], names=names)
+
+    def add(rows: pa.Table) -> pa.Table:
+        own = [i for i, x in enumerate(rows["keys"]) if x.is_valid]
+        if len(own) != 1:
+            raise ValueError("a batch has no documents: its task ran again and got its rows in another order")
+        keys, size, again = (np.frombuffer(rows[c][own[0]].as_buffer(), t) for c, t in (("keys", np.int64), ("size", np.int64), ("again", np.float64)))
+        kind = np.uint16 if len(keys) <= 1 << 16 else np.uint32
+        joined = lambda c, t: np.frombuffer(b"".join(rows[c].to_pylist()), t)
+        doc, strange = joined("docs", kind), joined("strange", kind)
+        sums = [np.bincount(d, joined(c, t), len(keys)) for d, c, t in ((doc, "value", np.float64), (doc, "found", np.uint32), (strange, "contrast", np.float64))]
+        here = np.flatnonzero((size > 0) | (sums[0] != 0) | (sums[1] != 0) | (sums[2] != 0))
+        columns_ = [keys, *[x.astype(np.float64) for x in (*sums, size, again, size > 0)]]
+        return pa.table([pa.array(x[here]) for x in columns_], names=["key", "value", "found", "contrast", "size", "again", "copies"])
+
+    met = packed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(f, "batch long, docs binary, value binary, found binary, strange binary, contrast binary, keys binary, size binary, again binary")
+    return met.groupBy("batch").applyInArrow(add, "key long, value double, found double, contrast double, size double, again double, copies double")
+
+
+def _sharded(known: DataFrame, shards: int, passes: int) -> DataFrame:
+    """The model's grams (g, or context and suffix) packed: for each ``PACKED_ROWS`` of a task and each shard a row of arrays; what ``known`` lacks is zero."""
+
+    def packed(b: pa.Table) -> Iterator[pa.RecordBatch]:
+        of = lambda c, t: b[c].to_numpy().astype(t) if c in b.column_names else np.zeros(b.num_rows, t)
+        with np.errstate(over="ignore"):
+            g = b["g"].to_numpy().view(np.uint64) if "g" in b.column_names else gram_hash(b["context"].to_numpy().view(np.uint64), b["suffix"].to_numpy().view(np.uint64))
+        here, g = _parts(g, shards), g & SENT
+        by = np.lexsort((g, here))
+        here, arrays = here[by], [g[by], *(of(c, t)[by] for c, t in (("word", np.uint8), ("value", np.float64), ("df", np.int64), ("contexts", np.int64)))]
+        cuts = np.flatnonzero(np.diff(here, prepend=-1, append=-1))
+        held = here[cuts[:-1]]
+        binary = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()) for x in arrays]
+        yield pa.RecordBatch.from_arrays([pa.array(held), *binary, pa.array(held % passes)], ["shard", "g", "word", "value", "df", "contexts", "turn"])
 
-def _sharded(known: DataFrame, shards: int) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            shard = _parts(b.column(0).to_numpy().view(np.uint64), shards)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], [*b.schema.names, "shard"])
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED_ROWS:
+                yield from packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from packed(pa.Table.from_batches(held))
 
-    return known.select("g", "word", "value", "df", "contexts").mapInArrow(f, "g long, word boolean, value double, df long, contexts long, shard int")
+    return known.mapInArrow(f, "shard int, g binary, word binary, value binary, df binary, contexts binary, turn int")
 
 
 def judgements(labels: DataFrame) -> DataFrame:
@@ -371,12 +421,12 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, passes: int =
     if langs.where("seed = 0").head(1):  # languages of few trusted documents share a model of all of them
         learn = learn.unionByName(learn.where("seed <> 0").withColumns({"seed": F.lit(0).cast("long"), "code": F.lit(0)}))
     order = max(order, 2)
-    learnt, new = model(learn, order)
-    learnt = reduce(DataFrame.unionByName, [_sharded(x, shards) for x in learnt])
+    learnt, new = model(learn, order, shards, passes)
+    learnt = reduce(DataFrame.unionByName, learnt)
     every = seeded.select("key", "text", "seed", F.coalesce("good_", F.lit(False)).alias("good"))
     sums = None
     for turn in range(passes):
-        part = table(_met(_packed(every, order, shards, turn, passes), learnt.where(F.col("shard") % passes == turn)))
+        part = table(_met(_packed(every, order, shards, turn, passes), learnt.where(F.col("turn") == turn)))
         sums = part if sums is None else sums.unionByName(part)
     sums = sums.groupBy(F.col("key").alias("k_")).agg(*[F.sum(n).alias(n) for n in ("value", "found", "contrast", "size", "again", "copies")])
     out = names.drop("bytes").join(sums, F.col("key") == F.col("k_"), "left").join(langs.drop("code"), F.col("lang").eqNullSafe(F.col("l_"))).join(new.withColumnRenamed("seed", "s_"), F.col("seed") == F.col("s_"), "left")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import quality
+from tests.test_growth import shuffled
 
 WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
@@ -137,3 +138,26 @@ def test_contrast_and_repeats(spark):
     labels = [(i, 1, 0) for i in range(150)] + [(200 + i, 1, 1) for i in range(12)]
     got = {r["doc_id"]: r["kept"] for r in quality.scores(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert not any(got[i] for i in (*range(200, 212), 300, 302, 303)) and got[301] and sum(got[i] for i in range(150)) >= 148
+
+
+def test_rows_do_not_grow_with_shards(spark, monkeypatch):
+    """A document's sums are one row a turn, into however many shards the model is cut."""
+    rng = random.Random(2)
+    rows = [(i, "en", " ".join(f"{rng.choice('bdfgkl')}{rng.choice('aeiou')}{rng.choice('nrst')}" for _ in range(40))) for i in range(1200)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1), spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    a = quality.scores(docs, known, passes=1).collect()
+    monkeypatch.setattr(quality, "SHARD_BYTES", 6000)
+    packed = lambda: quality._packed(docs.select("doc_id", "text").withColumns({"key": F.col("doc_id"), "seed": F.lit(0).cast("long"), "good": F.lit(False)}), 2, 33, 0, 1)
+    b, n = quality.scores(docs, known, passes=1).collect(), packed().count()
+    pick = lambda rows: {r["doc_id"]: (round(r["perplexity"], 9), round(r["contrast"], 9), r["kept"]) for r in rows}
+    assert len(a) == 1200 and pick(a) == pick(b)
+    assert n == 33
+    model = quality._sharded(spark.createDataFrame([(1, True, 0.5, 1, 0)], "g long, word boolean, value double, df long, contexts long"), 33, 1)
+    for k, v in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "33")):
+        spark.conf.set(k, v)
+    try:
+        sums, n = shuffled(spark, lambda: quality._met(packed(), model))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sums) == 1200 and n < 200  # not a row for each document and shard
