@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.operators import ann, asof, retrieve
-from corvane.streaming import frames
+from corvane.streaming import frames, state
 
 
 def shuffled(spark, run):
@@ -204,3 +204,52 @@ def test_frames_call_the_state_twice_a_batch():
             got += out.itertuples(index=False, name=None)
     assert got == [(4, i, "delta", f"{i}é") for i in range(50)]
     assert len(calls) == 6  # several for each piece before
+
+
+def test_memory_calls_the_state_by_session():
+    """Forty keys of a session take as many calls as one, and each expires at its own time."""
+    calls, timers = [], set()
+
+    class Held:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+                return self.value if name == "get" else self.value is not None and name == "exists"
+
+            return call
+
+    class Handle:
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("timer")
+            timers.discard(at)
+
+    class Now:
+        def __init__(self, passed):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: passed
+
+    machine = state._Memory()
+    machine.init(Handle())
+    rows = pd.DataFrame([("short", f"k{i % 40}", i, f"v{i}", pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i % 7 + i % 40)) for i in range(200)], columns=["kind", "key", "ord", "value", "ts"])
+    said = [r for out in machine.handleInputRows((4,), iter([rows[:90], rows[90:]]), Now(0)) for r in out.itertuples(index=False)]
+    want = {k: max((t, o) for k2, o, t in zip(rows["key"], rows["ord"], rows["ts"], strict=True) if k2 == k) for k in rows["key"]}
+    assert {(r.session, r.kind, r.key): (r.ts, r.ord) for r in said} == {(4, "short", k): x for k, x in want.items()} and len(said) == 40
+    assert len(calls) <= 4
+    gone = []
+    for _ in range(100):
+        if not timers:
+            break
+        at = min(timers)
+        timers.discard(at)
+        gone += [(at, r.key, r.event) for out in machine.handleExpiredTimer((4,), Now(at), Now(at)) for r in out.itertuples(index=False)]
+    assert sorted(gone) == sorted((int((t + pd.Timedelta(hours=4)).value // 1_000_000), k, "expired") for k, (t, _) in want.items())
