@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane import config as c
-from corvane.functions.text import has_any, has_year, squeeze
+from corvane.functions.text import has_any, has_year, let, squeeze
 
 
 def retrieval_route(query: Column) -> tuple[Column, Column]:
@@ -56,11 +56,10 @@ def normal_features(features: Column, tools: Column, strict: Column) -> Column:
     """Features with those of older tool names, the default ones if there are none, the citation guard if strict, and all that they need."""
     mapped = F.filter(F.transform(tools, _mapped), lambda x: x.isNotNull())
     f = F.array_distinct(F.concat(features, mapped))
-    f = F.when(F.size(f) == 0, F.array(F.lit("rag"), F.lit("citation_guard"))).otherwise(f)
-    f = F.when(strict & ~F.array_contains(f, "citation_guard"), F.array_append(f, F.lit("citation_guard"))).otherwise(f)
+    f = let(f, lambda f: F.when(F.size(f) == 0, F.array(F.lit("rag"), F.lit("citation_guard"))).otherwise(f))
+    f = let(f, lambda f: F.when(strict & ~F.array_contains(f, "citation_guard"), F.array_append(f, F.lit("citation_guard"))).otherwise(f))
     for _ in range(len(c.FEATURE_NEEDS)):  # no chain of needs is longer
-        needed = F.filter(F.transform(f, _needed), lambda x: x.isNotNull())
-        f = F.array_distinct(F.concat(f, needed))
+        f = let(f, lambda f: F.array_distinct(F.concat(f, F.filter(F.transform(f, _needed), lambda x: x.isNotNull()))))
     return f
 
 

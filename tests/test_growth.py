@@ -7,7 +7,8 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from corvane.operators import ann, asof, retrieve
+from corvane import config as c
+from corvane.operators import ann, asof, retrieve, understand
 from corvane.streaming import frames, state
 
 
@@ -253,3 +254,15 @@ def test_memory_calls_the_state_by_session():
         timers.discard(at)
         gone += [(at, r.key, r.event) for out in machine.handleExpiredTimer((4,), Now(at), Now(at)) for r in out.itertuples(index=False)]
     assert sorted(gone) == sorted((int((t + pd.Timedelta(hours=4)).value // 1_000_000), k, "expired") for k, (t, _) in want.items())
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_closure_names_its_steps_once(spark):
+    """The plan of the closure grows with its steps, not twofold with each."""
+    rows = spark.createDataFrame([(["citation_guard"], ["search"], True), ([], [], False)], "f array<string>, t array<string>, s boolean")
+    df = rows.select(understand.normal_features(F.col("f"), F.col("t"), F.col("s")).alias("n"))
+    assert plan(df).count("array_distinct") <= 1 + len(c.FEATURE_NEEDS)
+    assert df.collect()[1]["n"][:2] == ["rag", "citation_guard"]
