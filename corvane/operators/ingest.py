@@ -22,7 +22,8 @@ def fixed_chunks(docs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
 def parents(corpus: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     size, overlap = s.parent
-    rows = corpus.select("*", F.posexplode(windows(F.col("text"), size, overlap)).alias("i", "parent_text")).drop("text")
+    # outer: a plain one has its array worked out once more, by the filter that Spark infers
+    rows = corpus.select("*", F.posexplode_outer(windows(F.col("text"), size, overlap)).alias("i", "parent_text")).drop("text").where("parent_text IS NOT NULL")
     return rows.withColumn("i", F.col("i") + 1).withColumn("parent_id", F.concat(F.col("doc_id").cast("string"), F.lit("-parent-"), F.col("i").cast("string"))).withColumn("section_hint", section_hint(F.col("parent_text")))
 
 
@@ -43,10 +44,13 @@ def summary(text: Column) -> Column:
 
 
 def two_level_chunks(corpus: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Small chunks (first of equal contents of an address) and a summary row for each parent, in one table."""
-    p = parents(corpus, s)
-    small = p.select("*", F.posexplode(windows(F.col("parent_text"), s.chunk, s.overlap)).alias("j", "chunk_text")).withColumn("j", F.col("j") + 1)
-    small = small.withColumn("chunk_text", squeeze(F.col("chunk_text"))).where(F.length("chunk_text") >= s.least_chunk).withColumn("chunk_text_hash", content_hash(F.col("chunk_text")))
+    """Small chunks (first of equal contents of an address) and a summary row for each parent, in one table.
+
+    Texts are dealt out first, so that all cores cut them however few row groups the files have."""
+    p = parents(corpus.repartition(F.xxhash64("doc_id", "text")), s)
+    pieces = F.transform(windows(F.col("parent_text"), s.chunk, s.overlap), squeeze)  # inside the generator, so that the filter does not squeeze again
+    small = p.select("*", F.posexplode_outer(pieces).alias("j", "chunk_text")).withColumn("j", F.col("j") + 1)
+    small = small.where(F.length("chunk_text") >= s.least_chunk).withColumn("chunk_text_hash", F.sha1(F.lower("chunk_text")))  # that is content_hash, of a squeezed text
     first = Window.partitionBy("source_url", "chunk_text_hash").orderBy("doc_id", "i", "j")
     small = small.withColumn("r_", F.row_number().over(first)).where("r_ = 1").drop("r_")
     small = small.withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("i").cast("string"), F.col("j").cast("string"))).withColumn("chunk_level", F.lit("small"))

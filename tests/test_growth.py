@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane import config as c
-from corvane.operators import ann, asof, retrieve, understand
+from corvane.operators import ann, asof, ingest, retrieve, understand
 from corvane.streaming import frames, state
 
 
@@ -266,3 +266,10 @@ def test_closure_names_its_steps_once(spark):
     df = rows.select(understand.normal_features(F.col("f"), F.col("t"), F.col("s")).alias("n"))
     assert plan(df).count("array_distinct") <= 1 + len(c.FEATURE_NEEDS)
     assert df.collect()[1]["n"][:2] == ["rag", "citation_guard"]
+
+
+def test_chunks_are_squeezed_once_on_all_cores(spark):
+    docs = spark.createDataFrame([(i, f"a  {i} text\t" * 80, f"u{i % 2}") for i in range(40)], "doc_id long, text string, source_url string").coalesce(1)
+    df = ingest.two_level_chunks(docs).where("chunk_level = 'small'").select("chunk_id", "chunk_text_hash")
+    assert plan(df).count(r"(?U)\s+") == 1 and "RepartitionByExpression" in plan(df)
+    assert len({r["chunk_text_hash"] for r in df.collect()}) == df.count()
