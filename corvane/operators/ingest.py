@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.config import EXPANSION_RULES, HIGHLIGHTS, SETTINGS, Settings
-from corvane.functions.text import YEAR, content_hash, has_any, squeeze, strip, windows
+from corvane.functions.text import YEAR, content_hash, has_any, let, squeeze, strip, windows
 
 SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")
 
@@ -90,22 +90,28 @@ def validity(title: Column, topic: Column, publish: Column, text: Column, notice
 def keywords(chunk: Column, rules: tuple = EXPANSION_RULES) -> Column:
     found = F.flatten(F.array(*[F.when(chunk.contains(w), F.array(*[F.lit(a) for a in also])).otherwise(F.array().cast("array<string>")) for w, also in rules]))
     first = F.substring(F.coalesce(F.get(F.filter(F.transform(F.split(chunk, r"[。；\n]"), strip), lambda x: x != ""), F.lit(0)), F.lit("")), 1, 18)
-    return F.slice(F.array_distinct(F.when(F.size(found) > 0, found).when(first != "", F.array(first)).otherwise(F.array().cast("array<string>"))), 1, 3)
+    one = lambda x: F.when(x != "", F.array(x)).otherwise(F.array().cast("array<string>"))
+    return F.slice(F.array_distinct(let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(let(first, one)))), 1, 3)
 
 
 def expansions(chunk: Column, title: Column, topic: Column, section: Column, rules: tuple = EXPANSION_RULES) -> Column:
     """Up to three auxiliary queries of a chunk: 4 to 40 characters, with a Han character or a digit, each once whatever the case."""
-    words, empty = keywords(chunk, rules), F.lit("")
+    empty = F.lit("")
     limits = F.slice(F.array_distinct(F.regexp_extract_all(chunk, F.lit(r"(20[0-9]{2}|[0-9]+元|[0-9]+分|本科|专科|理工类|艺术类|国家助学贷款)"), F.lit(1))), 1, 3)
     year = F.regexp_extract(F.concat_ws(" ", title, chunk), YEAR, 1)
     join = lambda *c: F.array_join(F.filter(F.array(*c), lambda x: x != ""), " ")
-    word, anchor = F.coalesce(F.get(words, F.lit(0)), empty), F.coalesce(F.nullif(strip(section), empty), F.nullif(topic, empty), title)
-    one = join(topic, anchor, F.when(word != "", word).otherwise("政策"))
-    two = F.when(F.size(words) > 0, join(F.coalesce(F.nullif(title, empty), topic), F.array_join(F.slice(words, 1, 2), " "))).otherwise("")
-    three = F.when(F.size(limits) > 0, join(year, F.when(F.size(words) > 0, word).otherwise(topic), F.array_join(F.slice(limits, 1, 2), " "))).otherwise("")
-    some = F.filter(F.array(one, two, three), lambda x: x != "")
-    some = F.when((F.size(some) < 3) & (year != ""), F.array_append(some, join(year, F.coalesce(F.nullif(topic, empty), title), F.lit("官方规定")))).otherwise(some)
-    good = F.filter(F.transform(some, squeeze), lambda x: F.length(x).between(4, 40) & (F.lower(x) != F.lower(squeeze(chunk))) & x.rlike(r"[\x{4e00}-\x{9fff}0-9]"))
+    anchor = F.coalesce(F.nullif(strip(section), empty), F.nullif(topic, empty), title)
+
+    def made(words: Column, limits: Column, year: Column) -> Column:
+        word = F.coalesce(F.get(words, F.lit(0)), empty)
+        one = join(topic, anchor, F.when(word != "", word).otherwise("政策"))
+        two = F.when(F.size(words) > 0, join(F.coalesce(F.nullif(title, empty), topic), F.array_join(F.slice(words, 1, 2), " "))).otherwise("")
+        three = F.when(F.size(limits) > 0, join(year, F.when(F.size(words) > 0, word).otherwise(topic), F.array_join(F.slice(limits, 1, 2), " "))).otherwise("")
+        more = join(year, F.coalesce(F.nullif(topic, empty), title), F.lit("官方规定"))
+        return let(F.filter(F.array(one, two, three), lambda x: x != ""), lambda some: F.when((F.size(some) < 3) & (year != ""), F.array_append(some, more)).otherwise(some))
+
+    some = let(keywords(chunk, rules), lambda w: let(limits, lambda x: let(year, lambda y: made(w, x, y))))
+    good = let(F.lower(squeeze(chunk)), lambda own: F.filter(F.transform(some, squeeze), lambda x: F.length(x).between(4, 40) & (F.lower(x) != own) & x.rlike(r"[\x{4e00}-\x{9fff}0-9]")))
     once = F.aggregate(good, F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x)))
     return F.slice(once, 1, 3)
 

@@ -273,3 +273,10 @@ def test_chunks_are_squeezed_once_on_all_cores(spark):
     df = ingest.two_level_chunks(docs).where("chunk_level = 'small'").select("chunk_id", "chunk_text_hash")
     assert plan(df).count(r"(?U)\s+") == 1 and "RepartitionByExpression" in plan(df)
     assert len({r["chunk_text_hash"] for r in df.collect()}) == df.count()
+
+
+def test_expansions_name_their_parts_once(spark):
+    rows = spark.createDataFrame([("2024 本科 学费 5000元。", "章程", "招生", "第一章")], "c string, t string, p string, s string")
+    df = rows.select(ingest.expansions(F.col("c"), F.col("t"), F.col("p"), F.col("s")).alias("e"))
+    assert plan(df).count("regexp_extract_all") == 1
+    assert df.first()["e"][0].startswith("招生 第一章")
