@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, columns, forget, mix, read, rolling, table, utf8
 
-ORDER, PASSES, LEARN_PASSES, SLICES = 2, 6, 2, 2
+ORDER, PASSES, LEARN_PASSES, SLICES = 2, 5, 2, 2
 QUANTILE, LEAST, EVIDENCE = 0.997, 100, math.log(6)
 #: Text that a task sums at a time; text for each shard of the model; labels of at most so many rows are broadcast, more are joined by shuffle.
 BATCH_BYTES, SHARD_BYTES, BROADCAST_ROWS = 5 << 19, 16 << 20, 2_000_000
@@ -212,7 +212,7 @@ def model(docs: DataFrame, order: int, shards: int, passes: int, turns: int = LE
                 known = table(some.select("g", "p", "step", "df"))
                 spare[k] = known
             else:
-                out.append(table(_sharded(some.select("context", "suffix", F.col("step").alias("value"), F.col("df").cast("long").alias("df")), shards, passes), by="turn"))
+                out.append(table(_sharded(some.select("context", "suffix", F.col("step").alias("value"), F.col("df").cast("long").alias("df")), shards, passes)))
                 if part[1] == slices - 1:
                     forget(counted[part[0]])
     for k in range(1, order):
@@ -223,7 +223,7 @@ def model(docs: DataFrame, order: int, shards: int, passes: int, turns: int = LE
         else:
             rows = rows.withColumns({"word": F.lit(False), "contexts": F.lit(0)})
         zero = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)).alias(c)
-        out.append(table(_sharded(rows.select("g", "word", zero("value", "double"), zero("df", "long"), zero("contexts", "long")), shards, passes), by="turn"))
+        out.append(table(_sharded(rows.select("g", "word", zero("value", "double"), zero("df", "long"), zero("contexts", "long")), shards, passes)))
     forget(seen, *left.values(), *spare.values())
     return out, new
 
@@ -315,7 +315,8 @@ def _met(packed: DataFrame, known: DataFrame) -> DataFrame:
         known_g = of("g", np.uint64)
         by = np.argsort(known_g, kind="stable")
         known_g = known_g[by]
-        word, value, df, contexts = (of(c, t)[by] for c, t in (("word", np.uint8), ("value", np.float64), ("df", np.int64), ("contexts", np.int64)))
+        word, value = of("word", np.uint8)[by], of("value", np.float64)[by]
+        df, contexts = (of(c, np.uint32)[by].astype(np.int64) for c in ("df", "contexts"))
         out = []
         for raw in zip(*(left[c] for c in ("grams", "cells", "docs", "counts", "good")), strict=True):
             planes = np.frombuffer(raw[0].as_buffer(), np.uint8).reshape(6, -1)
@@ -371,7 +372,7 @@ def _sharded(known: DataFrame, shards: int, passes: int) -> DataFrame:
             g = b["g"].to_numpy().view(np.uint64) if "g" in b.column_names else gram_hash(b["context"].to_numpy().view(np.uint64), b["suffix"].to_numpy().view(np.uint64))
         here, g = _parts(g, shards), g & SENT
         by = np.lexsort((g, here))
-        here, arrays = here[by], [g[by], *(of(c, t)[by] for c, t in (("word", np.uint8), ("value", np.float64), ("df", np.int64), ("contexts", np.int64)))]
+        here, arrays = here[by], [g[by], *(of(c, t)[by] for c, t in (("word", np.uint8), ("value", np.float64), ("df", np.uint32), ("contexts", np.uint32)))]
         cuts = np.flatnonzero(np.diff(here, prepend=-1, append=-1))
         held = here[cuts[:-1]]
         binary = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary()) for x in arrays]
