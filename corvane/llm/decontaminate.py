@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import columns, read
+from corvane.llm.common import columns, kept_by, read
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -30,7 +30,6 @@ SHARE = 20  # a document is contaminated from one hit word in so many
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in texts before A-Z become lower case
-_BUILT: dict[str, object] = {}
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<struct<start:int,end:int>>, items array<string>"
 
@@ -54,18 +53,19 @@ def patterns(items: list[tuple[object, str | None]], window: int = WINDOW) -> di
 
 def automaton(key: str, held):
     """Built once in each Python worker."""
-    if key not in _BUILT:
+    built = kept_by("decontaminate")
+    if key not in built:
         import ahocorasick
 
-        if len(_BUILT) > 3:
-            _BUILT.clear()
+        if len(built) > 3:
+            built.clear()
         a = ahocorasick.Automaton()
         for text, value in held.value.items():
             a.add_word(text, (len(text), *value))
         if len(a):
             a.make_automaton()
-        _BUILT[key] = a
-    return _BUILT[key]
+        built[key] = a
+    return built[key]
 
 
 def scan(a, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, columns, forget, mix, read, rolling, table, utf8
+from corvane.llm.common import chunks, columns, forget, kept_by, mix, read, rolling, table, utf8
 
 ORDER, PASSES, LEARN_PASSES, SLICES = 2, 5, 2, 2
 QUANTILE, LEAST, EVIDENCE = 0.997, 100, math.log(6)
@@ -46,6 +46,8 @@ BATCH_BYTES, SHARD_BYTES, BROADCAST_ROWS = 5 << 19, 16 << 20, 2_000_000
 #: Bits of a gram's hash that are sent; its shard holds others. A shard's grams don't grow with the input, so a foreign gram is met with probability 1e-8 at most.
 SENT = np.uint64((1 << 48) - 1)
 PACKED_ROWS = 1 << 19
+#: What Python workers get at a time of texts, and of packed rows; counts that they give back at a time.
+SENT_BYTES, SENT_ROWS = 4 << 20, 1 << 16
 REPEAT_SPAN = 64
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 _MULTIPLY = np.random.default_rng(2024).integers(1, 2**62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,6 +105,7 @@ def gram_hash(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of about ``BATCH_BYTES`` of text at a time."""
+    kept_by("quality")  # nothing but room: workers of a pipeline hold the vocabulary of its last stage
     held, size = [], 0
     for b in chunks(batches):
         n = b.column(b.schema.get_field_index("text")).nbytes
@@ -140,7 +143,8 @@ def gram_counts(rows: DataFrame, order: int, turn: int, passes: int) -> DataFram
                     at = np.flatnonzero(new)
                     df = np.add.reduceat((new | np.append(True, doc[1:] != doc[:-1])).astype(np.int32), at, dtype=np.int32)
                     columns_ = [np.full(len(at), kind, np.int32), context[by[at]].view(np.int64), suffix[by[at]].view(np.int64), code[doc[at]], np.diff(np.append(at, len(key))), df]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns_], ["k", "context", "suffix", "code", "n", "df"])
+                    counted = pa.RecordBatch.from_arrays([pa.array(x) for x in columns_], ["k", "context", "suffix", "code", "n", "df"])
+                    yield from (counted.slice(lo, SENT_ROWS) for lo in range(0, len(at), SENT_ROWS))
 
     out = rows.select("text", "seed", "code", "good").mapInArrow(f, "k int, context long, suffix long, code int, n long, df int")
     return out.groupBy("k", "context", "suffix", "code").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
@@ -172,7 +176,7 @@ def model(docs: DataFrame, order: int, shards: int, passes: int, turns: int = LE
 
     A word has the documents and contexts that hold it, and is a ``word`` if a trusted document predicts it, as START is not.
     """
-    counted = [table(gram_counts(docs, order, turn, turns)) for turn in range(turns)]
+    counted = [table(gram_counts(docs, order, turn, turns), batch_bytes=SENT_BYTES) for turn in range(turns)]
     counts = reduce(DataFrame.unionByName, counted)
     of = lambda k: counts.where(F.col("k") == k)
     left, spare = {}, {}
@@ -427,7 +431,7 @@ def scores(docs: DataFrame, labels: DataFrame, order: int = ORDER, passes: int =
     every = seeded.select("key", "text", "seed", F.coalesce("good_", F.lit(False)).alias("good"))
     sums = None
     for turn in range(passes):
-        part = table(_met(_packed(every, order, shards, turn, passes), learnt.where(F.col("turn") == turn)))
+        part = table(_met(_packed(every, order, shards, turn, passes), learnt.where(F.col("turn") == turn)), batch_bytes=SENT_BYTES)
         sums = part if sums is None else sums.unionByName(part)
     sums = sums.groupBy(F.col("key").alias("k_")).agg(*[F.sum(n).alias(n) for n in ("value", "found", "contrast", "size", "again", "copies")])
     out = names.drop("bytes").join(sums, F.col("key") == F.col("k_"), "left").join(langs.drop("code"), F.col("lang").eqNullSafe(F.col("l_"))).join(new.withColumnRenamed("seed", "s_"), F.col("seed") == F.col("s_"), "left")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, columns, read, table
+from corvane.llm.common import chunks, columns, kept_by, read, table
 
 CACHED = 500_000
 BLOCK = 1 << 16
@@ -41,7 +41,6 @@ FLAT_BLOCK = 1 << 18
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _UNIT = re.compile(rf" ?[{_L}]+(?=[.,;:!?]*(?!\S))|[.,;:!?]+(?!\S)| ?\S+|\s+(?=\s\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-_WORKER: dict[tuple, Encoder] = {}
 
 
 class Encoder:
@@ -132,7 +131,10 @@ class Encoder:
 
 def encoder(path: str, specials: bool) -> Encoder:
     """One for each Python worker."""
-    return _WORKER.setdefault((path, specials), Encoder(path, specials)) if (path, specials) not in _WORKER else _WORKER[path, specials]
+    kept = kept_by("tokens")
+    if (path, specials) not in kept:
+        kept[path, specials] = Encoder(path, specials)
+    return kept[path, specials]
 
 
 def default_vocabulary() -> str:

@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import quality
+from corvane.llm import common, quality, tokens
 from tests.test_growth import shuffled
 
 WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
@@ -161,3 +163,30 @@ def test_rows_do_not_grow_with_shards(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(sums) == 1200 and n < 200  # not a row for each document and shard
+
+
+def test_a_worker_drops_the_vocabulary_of_another_operator():
+    """A worker that has encoded texts doesn't hold the vocabulary and its pieces while it counts grams; the next encoder gives the same ids."""
+    path = tokens.default_vocabulary()
+    e = tokens.encoder(path, False)
+    assert tokens.encoder(path, False) is e
+    held, ids = weakref.ref(e), next(iter(e.encode(["some words of a text"]))).tolist()
+    del e
+    assert held() is not None
+    assert [t.num_rows for t in quality._batches(iter([pa.RecordBatch.from_pydict({"text": ["a b", None]})]))] == [2]
+    assert held() is None
+    assert next(iter(tokens.encoder(path, False).encode(["some words of a text"]))).tolist() == ids
+
+
+def test_workers_get_some_megabytes_of_text_at_a_time(spark):
+    """Rows of a task reach Python in batches of the bytes asked for, where one had held 10,000 rows; the session's setting stays."""
+    before = spark.conf.get(common.ARROW_BYTES)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("word "), 800).alias("text"))
+    got = common.table(rows.mapInArrow(sizes, "n long, size long"), batch_bytes=quality.SENT_BYTES).collect()
+    assert sum(r["n"] for r in got) == 6000 and max(r["size"] for r in got) < 1.5 * quality.SENT_BYTES
+    assert spark.conf.get(common.ARROW_BYTES) == before
