@@ -1,10 +1,11 @@
 """Tokenizing whole texts; token files in bit or byte planes; token counts from flat files.
 
 ``Encoder`` encodes with the tokenizers library. A byte-level pre-tokenizer with its own pattern never lets a token pass from a character that
-is not white space to white space, so a text is cut at its added tokens first, as the library does, and then there, and each distinct piece is
-encoded once for each Python worker (two tables of about ``CACHED`` pieces are held). Texts with control characters on whose class regular
-expression libraries differ are encoded in one call, and so are all texts of any other vocabulary: one with a normalizer, another
-pre-tokenizer or model, or added tokens that take white space along.
+is not white space to white space, nor from an ASCII letter or digit to another printable ASCII character, so texts are cut there, some megabytes
+at a time as one array of bytes, and each distinct piece is encoded once for each Python worker (two tables of about ``CACHED`` pieces are held).
+Texts with added tokens, white space beyond ASCII's or very many characters are cut one by one, at their added tokens first, as the library does.
+Texts with control characters on whose class regular expression libraries differ are encoded in one call, and so are all texts of any other
+vocabulary: one with a normalizer, another pre-tokenizer or model, or added tokens that take white space along.
 
 Token files (operator 3): ids in ascending doc_id order are cut into blocks of ``BLOCK`` ids; a block's bytes (or bits) are
 transposed into planes, and each plane is compressed with zstandard. A row of the file table is one chunk with its entry of the
@@ -33,14 +34,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import chunks, columns, kept_by, read, table
+from corvane.llm.common import SPACE, chunks, columns, kept_by, read, table, utf8
 
 CACHED = 500_000
 BLOCK = 1 << 16
 FLAT_BLOCK = 1 << 18
+#: Bytes of texts that are cut and looked up at a time.
+TEXT_BYTES = 4 << 20
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _UNIT = re.compile(rf" ?[{_L}]+(?=[.,;:!?]*(?!\S))|[.,;:!?]+(?!\S)| ?\S+|\s+(?=\s\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_APART = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"  # odd ones, and white space beyond ASCII's
+_WORD = np.zeros(256, bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x7F] = ~_WORD[0x21:0x7F]
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts that lie one after another start, and the end: at a run of white space, at its last byte if a word follows, at a word after
+    other white space than a blank, and at a mark after an ASCII letter or digit. Texts have no white space beyond ASCII's, and some byte."""
+    space, cut = SPACE[data], np.zeros(len(data) + 1, bool)
+    word = ~space
+    follows = np.append(word[1:], False)
+    follows[offsets[1:] - 1] = False  # the next byte is of another text
+    cut[1:-1] = space[1:] & (word[:-1] | follows[1:]) | word[1:] & space[:-1] & (data[:-1] != 0x20) | _MARK[data[1:]] & _WORD[data[:-1]]
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -60,6 +80,7 @@ class Encoder:
         plain = plan["model"]["type"] == "BPE" and not plan["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         self.by_piece = own and plan["normalizer"] is None and plain
         self.added = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")") if added else None
+        self.apart = "|".join([_APART] + [re.escape(t["content"]) for t in added])
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -73,11 +94,12 @@ class Encoder:
                 (plain if self.by_piece and u[:1] == " " and not u[1:2].isspace() and len(u) > 1 else others).append(u)
         for u, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.held[u] = np.array(e.ids, self.dtype).tobytes()
-        if plain:  # no token passes from one to the next: one text of them has the same ids, told apart by the bytes that each id stands for
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in plain])) + 1
+        for at in range(0, len(plain), 1 << 15):  # no token passes from one to the next: one text of them has the same ids, told apart by the bytes that each id stands for
+            some = plain[at : at + (1 << 15)]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
             raw, size = ids.tobytes(), self.dtype.itemsize
-            for u, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            for u, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 self.held[u] = raw[size * a : size * b]
 
     def parts(self, text: str) -> list[str]:
@@ -103,30 +125,52 @@ class Encoder:
             while part := list(islice(units, 1 << 17)):
                 yield part
 
-    def ids(self, units: list[list[str]]) -> list[bytes]:
-        """The ids of each list of units. What was met since the last turn but one outlives a turn of the two tables."""
+    def look_up(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit. What was met since the last turn but one outlives a turn of the two tables."""
         if len(self.held) > CACHED:
             self.held, self.older = {}, self.held
-        found, new = [list(map(self.held.get, u)) for u in units], set()
-        gaps = []
-        for k, f in enumerate(found):
-            for _ in range(f.count(None)):
-                at = f.index(None, gaps[-1][1] + 1 if gaps and gaps[-1][0] == k else 0)
-                gaps.append((k, at))
-                new.add(units[k][at])
-        self.learn(new)
-        for k, at in gaps:
-            found[k][at] = self.held[units[k][at]]
-        return [b"".join(f) for f in found]
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        found = list(map(self.held.get, units))
+        gaps = [k for k, f in enumerate(found) if f is None]
+        self.learn({units[k] for k in gaps})
+        for k in gaps:
+            found[k] = self.held[units[k]]
+        return found
+
+    def ids(self, units: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units."""
+        return [b"".join(self.look_up(u)) for u in units]
+
+    def together(self, col: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, all cut at once; none matches ``apart``."""
+        data, offsets = utf8(col)
+        if not len(data):
+            yield from [np.zeros(0, self.dtype)] * len(col)
+            return
+        at = cuts(data, offsets)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        found = pa.array(self.look_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        starts = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] // self.dtype.itemsize
+        which = pieces.indices.to_numpy()
+        n = np.diff(starts)[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(found.buffers()[2], self.dtype)[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1])]
+        firsts = np.append(0, ends)[np.searchsorted(at, offsets)].tolist()
+        for a, b in zip(firsts[:-1], firsts[1:], strict=True):
+            yield ids[a:b]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        if sum(len(t or "") for t in texts) < 1 << 21:
-            for raw in self.ids([self.units(t or "") for t in texts]):
-                yield np.frombuffer(raw, self.dtype)
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if (pa.compute.sum(pa.compute.binary_length(col)).as_py() or 0) > 2 * TEXT_BYTES:
+            for t in col.to_pylist():
+                yield np.frombuffer(b"".join(self.ids([p])[0] for p in self.pieces(t or "")), self.dtype)
             return
-        for t in texts:
-            yield np.frombuffer(b"".join(self.ids([p])[0] for p in self.pieces(t or "")), self.dtype)
+        apart = np.ones(len(col), bool)
+        if self.by_piece:
+            apart = pa.compute.fill_null(pa.compute.match_substring_regex(col, self.apart), False).to_numpy(zero_copy_only=False)
+        others = self.together(col.filter(pa.array(~apart)) if apart.any() else col)
+        for k, alone in enumerate(apart.tolist()):
+            yield np.frombuffer(self.ids([self.units(col[k].as_py() or "")])[0], self.dtype) if alone else next(others)
 
 
 def encoder(path: str, specials: bool) -> Encoder:
@@ -222,8 +266,8 @@ def token_file(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0,
             return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "n_ids": len(ids), "planes": sizes, "payload": payload, "docs": inside}], schema=_FILE_ARROW)
 
         end = np.array([end_id], e.dtype)
-        for b in chunks(batches, most=1 << 20):
-            for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist()), strict=True):
+        for b in chunks(batches, most=TEXT_BYTES):
+            for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
                 ids, at = np.concatenate([ids, end]), 0
                 while at < len(ids):
                     take = min(block - n, len(ids) - at)
@@ -296,8 +340,8 @@ def flat_files(docs: DataFrame, vocabulary: str | None = None, block: int = FLAT
         def flush(ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"file": file, "block": k, "width": e.dtype.itemsize, "ids": ids.tobytes(), "names": names}], schema=_FLAT_ARROW)
 
-        for b in chunks(batches, most=1 << 20):
-            for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist()), strict=True):
+        for b in chunks(batches, most=TEXT_BYTES):
+            for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
                 held += [ids, end]
                 names.append(doc)
                 n += len(ids) + 1

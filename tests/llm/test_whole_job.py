@@ -202,3 +202,33 @@ def test_licenses_against_all_templates(spark):
                     want.add((str(i), name, a, round(held, 9)))
     got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(str(r["doc_id"]), r["license_id"], r["window"], round(r["containment"], 9)) for r in got} == want and len(want) > 100
+
+
+def test_texts_are_cut_together():
+    """Texts of all ASCII characters and of white space beyond ASCII's, side by side with empty ones, have the ids of the whole text; a piece of many texts is looked up once for all of them."""
+    from corvane.llm import tokens
+
+    rng, path = random.Random(33), tokens.default_vocabulary()
+    marks = [chr(c) for c in range(128)] + list("\u00e9\u00c9\u00df\u00d7\u00f7\u00f1\u4e2d\u3002\u2019\u201c\u00b2\u0660\u0301\u0085\u00a0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000\ufeff\U0001f600")
+    words = ["word", "it's", "I'LL", "x'", "12a", "a,b", "end.", "key=va|ue", "été,", "<|endoftext|>", "<|endoftext", " ", "  ", "\n", " \n ", "\t", "\r\n", "!!", "'s", "%%%"]
+    texts = [None, "", " ", "  "] + ["".join(rng.choice(marks if rng.random() < 0.3 else words) for _ in range(rng.randint(0, 12))) for _ in range(8000)]
+    texts += [t + x for t in ("word", "", "a.", " ") for x in (" ", "  ", "\n\n", "\t ", " \t") for _ in range(3)] + ["", None]
+    for specials in (True, False):
+        e = tokens.Encoder(path, specials)
+        want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(texts)] == want
+        assert [x.tolist() for x in e.encode(texts[:4])] == want[:4] and list(e.encode([])) == []
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    e = tokens.Encoder(path, True)
+    e.held = Counted()
+    line = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    ids = e.tokenizer.encode(line, add_special_tokens=False).ids
+    assert all(x.tolist() == ids for x in e.encode([line] * 500))
+    assert Counted.asked <= 201  # was one for each piece of each text
