@@ -34,13 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE, chunks, columns, kept_by, read, table, utf8
+from corvane.llm.common import CHUNK_BYTES, SPACE, chunks, columns, kept_by, read, table, utf8
 
 CACHED = 500_000
 BLOCK = 1 << 16
 FLAT_BLOCK = 1 << 18
-#: Bytes of texts that are cut and looked up at a time.
-TEXT_BYTES = 4 << 20
 _L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _UNIT = re.compile(rf" ?[{_L}]+(?=[.,;:!?]*(?!\S))|[.,;:!?]+(?!\S)| ?\S+|\s+(?=\s\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
@@ -161,7 +159,7 @@ class Encoder:
     def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-        if (pa.compute.sum(pa.compute.binary_length(col)).as_py() or 0) > 2 * TEXT_BYTES:
+        if (pa.compute.sum(pa.compute.binary_length(col)).as_py() or 0) > 2 * CHUNK_BYTES:
             for t in col.to_pylist():
                 yield np.frombuffer(b"".join(self.ids([p])[0] for p in self.pieces(t or "")), self.dtype)
             return
@@ -266,7 +264,7 @@ def token_file(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0,
             return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "n_ids": len(ids), "planes": sizes, "payload": payload, "docs": inside}], schema=_FILE_ARROW)
 
         end = np.array([end_id], e.dtype)
-        for b in chunks(batches, most=TEXT_BYTES):
+        for b in chunks(batches):
             for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
                 ids, at = np.concatenate([ids, end]), 0
                 while at < len(ids):
@@ -281,7 +279,7 @@ def token_file(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0,
         if n:
             yield flush()
 
-    return table(ordered.mapInArrow(write, FILE_SCHEMA), "none")
+    return table(ordered.mapInArrow(write, FILE_SCHEMA), "none", batch_bytes=2 * CHUNK_BYTES)
 
 
 def read_token_file(file: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -340,7 +338,7 @@ def flat_files(docs: DataFrame, vocabulary: str | None = None, block: int = FLAT
         def flush(ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"file": file, "block": k, "width": e.dtype.itemsize, "ids": ids.tobytes(), "names": names}], schema=_FLAT_ARROW)
 
-        for b in chunks(batches, most=TEXT_BYTES):
+        for b in chunks(batches):
             for doc, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1)), strict=True):
                 held += [ids, end]
                 names.append(doc)
@@ -354,7 +352,7 @@ def flat_files(docs: DataFrame, vocabulary: str | None = None, block: int = FLAT
         if n or names:
             yield flush(np.concatenate(held))
 
-    files = table(columns(docs, "doc_id", "text").mapInArrow(write, "file int, block int, width int, ids binary, names array<bigint>"))
+    files = table(columns(docs, "doc_id", "text").mapInArrow(write, "file int, block int, width int, ids binary, names array<bigint>"), batch_bytes=2 * CHUNK_BYTES)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = files.select("file", "block", "names").withColumn("n_", F.coalesce(F.sum(F.size("names")).over(before), F.lit(0)))
     return files.select("file", "block", "width", "ids"), names.select("file", "n_", F.posexplode("names").alias("at", "doc_id")).select("file", (F.col("n_") + F.col("at")).alias("ord"), "doc_id")
