@@ -12,7 +12,10 @@ each link between members that are no pivots lies in a region in which one of th
 
 Inside a region sets are told by their differences to the pivot: ``|x ^ y| = |D(x) ^ D(y)|`` (symmetric differences). A region of at most ``LEAF`` members is joined from them by one task.
 
-Larger regions are cut further. Two members x, y in different components, of which y is not linked with the pivot p, are
+Larger regions are dealt into blocks, members at home first, then by the component that the links so far give them, and joined in tiles of two blocks, each by one task. Tiles in which all members
+are of one component, or none is at home, are left out, so that the others cost the product of those outside the largest component and all.
+
+Regions of more than ``TILES`` such tiles are cut further by meetings. Two members x, y in different components, of which y is not linked with the pivot p, are
 linked just if ``|D(x)| + |D(y)| - 2 |D(x) & D(y)| <= L (|x| + |y|)``, ``L = (1 - share) / (1 + share)``. As ``|D(y)| > L (|y| + |p|)``, x has to share more than
 ``(|D(x)| + L (|p| - |x|)) / 2`` of its differences. So the rarest ``|D(x)|`` less that number plus one of x hold a difference of y (prefix filter), and
 differences that only one member has drop out of them. Members that meet in such a difference form a key of the next round, which is joined in
@@ -26,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import chunks, columns, forget, shingle_hashes, table, utf8, word_hashes
@@ -36,6 +40,10 @@ from corvane.llm.components import components
 PIVOTS, WIDE = 3, 64
 #: Members of a region that one task compares all with each other.
 LEAF = 4096
+#: Differences of a block (a tile holds two), and tiles of a region above which it is cut by meetings.
+ELEMENTS, TILES = 1 << 21, 1 << 12
+#: A difference is a column of a matrix product if it makes more than one of ``RARE`` pairs of a tile.
+RARE = 300
 #: Pairs for each node, and for small inputs in all, below which the pairs of the keys are compared directly.
 PAIRS_PER_NODE, PAIRS = 1, 50_000
 
@@ -178,42 +186,121 @@ def _direct(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     return a.join(b, meet).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def _leaf_links(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(u, v): links that join the members (u, v, nv, linked, diff, home) of regions of at most LEAF members, as a forest for each region."""
+def _shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], n: int, m: int, total: int) -> np.ndarray:
+    """How many of ``total`` elements the n sets of x and the m sets of y have in common, pair by pair, from (set, element) of either.
+
+    Elements of the same sets are one of a weight. Frequent ones are columns of a matrix product, the others are met pair by pair."""
+    draw, name = np.random.default_rng(5), np.zeros(total, np.uint64)
+    for of, at in (x, y):
+        np.add.at(name, at, draw.integers(0, 1 << 63, n if of is x[0] else m, dtype=np.uint64)[of])
+    _, first, which, weight = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    kept = np.zeros(total, bool)
+    kept[first] = True
+    (xo, xa), (yo, ya) = ((of[kept[at]], which[at[kept[at]]]) for of, at in (x, y))
+    dx, dy = np.bincount(xa, minlength=len(first)), np.bincount(ya, minlength=len(first))
+    often, few = dx * dy * RARE > n * m, (dx > 0) & (dy > 0)
+    few &= ~often
+    out = np.zeros((n, m), np.int32)
+    place, kind = np.cumsum(often) - 1, np.float32 if weight.sum() < 1 << 24 else np.float64
+    columns = weight[often].astype(kind)
+    (xd, xc), (yd, yc) = ((of[often[at]], place[at[often[at]]]) for of, at in ((xo, xa), (yo, ya)))
+    for lo in range(0, len(columns), 1024):
+        w = columns[lo : lo + 1024]
+        a, b = np.zeros((n, len(w)), kind), np.zeros((m, len(w)), kind)
+        for held, of, c in ((a, xd, xc), (b, yd, yc)):
+            some = (c >= lo) & (c < lo + 1024)
+            held[of[some], c[some] - lo] = 1
+        a *= w
+        for i in range(0, n, 512):
+            out[i : i + 512] += (a[i : i + 512] @ b.T).astype(np.int32)
+    xo, xa, yo, ya = xo[few[xa]], xa[few[xa]], yo[few[ya]], ya[few[ya]]
+    by = np.argsort(ya, kind="stable")
+    yo, start = yo[by], np.searchsorted(ya[by], np.arange(len(first)))
+    many, flat = dy[xa], out.reshape(-1)
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(xa):  # a million pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+        t = many[lo:hi]
+        e = np.cumsum(t)
+        met = yo[np.repeat(start[xa[lo:hi]] - (e - t), t) + np.arange(e[-1])]
+        np.add.at(flat, np.repeat(xo[lo:hi], t) * m + met, np.repeat(weight[xa[lo:hi]].astype(np.int32), t))
+        lo = hi
+    return out
+
+
+def _joined(x: pa.Table, y: pa.Table | None, share: tuple[int, int]) -> pa.Table:
+    """(u, v) that join the members of x linked with members of y (v, nv, c, home, diff), or with others of x: two for a member at most. Members of one c are joined already."""
     num, den = share
+    sides = [x] if y is None else [x, y]
+    v, size, c, home = ([t[k].to_numpy(zero_copy_only=False) for t in sides] for k in ("v", "nv", "c", "home"))
+    diffs = [[np.asarray(d.values.to_numpy()) for d in t["diff"]] for t in sides]
+    d = [np.array([len(z) for z in some], np.int64) for some in diffs]
+    every, at = np.unique(np.concatenate([z for some in diffs for z in some] or [np.zeros(0, np.int64)]), return_inverse=True)
+    common = np.bincount(at, minlength=len(every)) > 1
+    place, rows, lo = np.cumsum(common) - 1, [], 0
+    for n in d:
+        some = at[lo : lo + int(n.sum())]
+        rows.append((np.repeat(np.arange(len(n)), n)[common[some]], place[some[common[some]]]))
+        lo += int(n.sum())
+    n, m = len(d[0]), len(d[-1])
+    shared, near = _shared(rows[0], rows[-1], n, m, int(common.sum())), np.zeros((n, m), bool)
+    for lo in range(0, n, 512):
+        k = slice(lo, lo + 512)
+        near[k] = (d[0][k, None] + d[-1][None, :] - 2 * shared[k]) * (den + num) <= (size[0][k, None] + size[-1][None, :]) * (den - num)
+        near[k] &= (c[0][k, None] != c[-1][None, :]) & (home[0][k, None] | home[-1][None, :])
+    del shared
+    free, met, out = near.any(axis=1), np.zeros(m, bool), []
+    for first in np.flatnonzero(free).tolist():
+        front = np.array([first]) if free[first] else np.zeros(0, np.int64)
+        while len(front):
+            free[front] = False
+            found = np.flatnonzero(near[front].any(axis=0) & ~met)
+            met[found] = True
+            front = np.flatnonzero(near[:, found].any(axis=1) & free)
+            out += [(v[0][first], z) for z in (*v[-1][found].tolist(), *v[0][front].tolist()) if z != v[0][first]]
+    return pa.table({"u": pa.array([z for z, _ in out], pa.int64()), "v": pa.array([z for _, z in out], pa.int64())})
+
+
+def _leaf_links(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(u, v): links that join the members (u, v, nv, linked, diff, home) of regions of at most LEAF members, region by region."""
+    alone = F.when(F.col("linked"), F.col("u")).otherwise(F.col("v")).alias("c")  # those that are linked with the pivot are one
+
+    def f(t: pa.Table) -> pa.Table:
+        return _joined(t, None, share)
+
+    return rows.select("u", "v", "nv", alone, "diff", "home").groupBy("u").applyInArrow(f, "u long, v long")
+
+
+def _blocks(rows: DataFrame, half: int) -> DataFrame:
+    """(u, v, b): members (u, v, home, c, diff) of regions by blocks of ``half`` members and ELEMENTS differences or so, those at home first, then by component."""
+    each = rows.select("u", "v", "home", "c", F.greatest(F.size("diff"), F.lit(ELEMENTS // half)).cast("long").alias("w"))
+    before = F.sum("w").over(Window.partitionBy("u").orderBy(F.desc("home"), "c", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    return each.select("u", "v", "home", "c", F.floor(before / ELEMENTS).cast("long").alias("b"))
+
+
+def _tiles(blocks: DataFrame) -> DataFrame:
+    """(u, x, y) of the blocks x <= y of a region that may hold links: members of two components, one of them at home."""
+    by = blocks.groupBy("u", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("home").alias("home"))
+    a, b = by.alias("a"), by.alias("b")
+    several = F.least("a.lo", "b.lo") < F.greatest("a.hi", "b.hi")
+    return a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.b") <= F.col("b.b")) & several & (F.col("a.home") | F.col("b.home"))).select("a.u", F.col("a.b").alias("x"), F.col("b.b").alias("y"))
+
+
+def _tile_links(rows: DataFrame, blocks: DataFrame, tiles: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(u, v): links that join the members (u, v, nv, diff, home, c) of regions across components, tile by tile."""
 
     def f(t: pa.Table) -> pa.Table:
-        v, size, linked, home = (t[c].to_numpy(zero_copy_only=False) for c in ("v", "nv", "linked", "home"))
-        diffs = [np.asarray(d.values.to_numpy()) for d in t["diff"]]
-        n, d = len(v), np.array([len(x) for x in diffs])
-        every, at = np.unique(np.concatenate(diffs), return_inverse=True)
-        of = np.repeat(np.arange(n), d)
-        common = np.bincount(at, minlength=len(every)) > 1
-        place = np.cumsum(common) - 1
-        of, at = of[common[at]], place[at[common[at]]]
-        order, total = np.argsort(at, kind="stable"), int(common.sum())
-        of, at, shared = of[order], at[order], np.zeros((n, n), np.int32)
-        for lo in range(0, total, 2048):
-            i, j = np.searchsorted(at, (lo, lo + 2048))
-            held = np.zeros((n, min(2048, total - lo)), np.float32)
-            held[of[i:j], at[i:j] - lo] = 1
-            for x in range(0, n, 512):
-                shared[x : x + 512] += (held[x : x + 512] @ held.T).astype(np.int32)
-        near = np.zeros((n, n), bool)
-        for x in range(0, n, 512):
-            y = slice(x, x + 512)
-            near[y] = (d[y, None] + d[None, :] - 2 * shared[y]) * (den + num) <= (size[y, None] + size[None, :]) * (den - num)
-            near[y] &= ~(linked[y, None] & linked[None, :]) & (home[y, None] | home[None, :])
-        free, out = np.ones(n, bool), []
-        for first in range(n):
-            front = np.array([first]) if free[first] else []
-            while len(front):
-                free[front] = False
-                front = np.flatnonzero(near[front].any(axis=0) & free)
-                out += [(v[first], v[x]) for x in front.tolist()]
-        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
-
-    return rows.select("u", "v", "nv", "linked", "diff", "home").groupBy("u").applyInArrow(f, "u long, v long")
+        x, y, b = t["x"][0], t["y"][0], t["b"]
+        if x == y:
+            return _joined(t, None, share)
+        return _joined(*(t.filter(pc.equal(b, k)) for k in (x, y)), share)
+
+    placed = blocks.select(F.col("u").alias("p_u"), F.col("v").alias("p_v"), "b")
+    held = rows.select("u", "v", "nv", "c", "home", "diff").join(placed, (F.col("u") == F.col("p_u")) & (F.col("v") == F.col("p_v"))).drop("p_u", "p_v")
+    wanted = tiles.select(F.col("u").alias("t_u"), "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("t_b"))
+    each = held.join(wanted, (F.col("u") == F.col("t_u")) & (F.col("b") == F.col("t_b"))).select("u", "x", "y", "b", "v", "nv", "c", "home", "diff")
+    return each.groupBy("u", "x", "y").applyInArrow(f, "u long, v long")
 
 
 def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int], pivots: int = PIVOTS, leaf: int = LEAF, edges: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -245,6 +332,14 @@ def linked_components(members: DataFrame, sets: DataFrame, share: tuple[int, int
             forget(stars, tried, inside)
             return components(edges), turn
         named = components(edges).withColumnRenamed("node", "n_")
-        large = large.join(named, F.col("v") == F.col("n_"), "left").withColumn("c", F.coalesce("component", "v")).drop("n_", "component", "wide")
-        before, rows = rows, table(_open(_meetings(large, share)))
-        forget(stars, tried, inside, *([before] if turn > 1 else []))
+        large = table(large.join(named, F.col("v") == F.col("n_"), "left").withColumn("c", F.coalesce("component", "v")).drop("n_", "component", "wide"))
+        blocks = table(_blocks(large, max(1, leaf // 2)))
+        tiles = table(_tiles(blocks))
+        vast = tiles.groupBy("u").agg(F.count("*").alias("n_")).where(F.col("n_") > TILES).select(F.col("u").alias("h_"))
+        edges = table(edges.unionByName(_tile_links(large, blocks, tiles.join(vast, F.col("u") == F.col("h_"), "left_anti"), share)))
+        before, rows = rows, large.join(vast, F.col("u") == F.col("h_"), "left_semi")
+        if not rows.head(1):
+            forget(stars, tried, inside, large, blocks, tiles)
+            return components(edges), turn
+        rows = table(_open(_meetings(rows, share)))
+        forget(stars, tried, inside, large, blocks, tiles, *([before] if turn > 1 else []))
