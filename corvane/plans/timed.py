@@ -95,6 +95,10 @@ def memory_stream(spark: SparkSession, d: str) -> DataFrame:
     return streams.remembered(changes, F.lit("2024-01-30 00:00:00").cast("timestamp"))
 
 
+#: Sessions of a key of the state, about.
+SESSIONS = 128
+
+
 def frames_stream(spark: SparkSession, d: str) -> DataFrame:
     """Answers put together from pieces of bytes that come in three micro-batches, each with pieces from everywhere; every other session has CRLF and frames of several data lines."""
     said = deliver.frames(service._said(spark, d))
@@ -102,10 +106,11 @@ def frames_stream(spark: SparkSession, d: str) -> DataFrame:
     wire = F.when(F.col("session") % 2 == 0, deliver.wire(F.col("event"), F.col("data"))).otherwise(split)
     whole = said.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", wire.alias("w")))), lambda x: x["w"]), "").alias("stream"))
     pieces, path = written(frames.cut(whole)), shared_dir(spark)
+    files, keys = max(4, pieces.rdd.getNumPartitions()), max(16, pieces.where("seq = 0").count() // SESSIONS)
     for at in range(3):
-        pieces.where(F.pmod(F.xxhash64("session", "seq"), F.lit(3)) == at).coalesce(4).write.mode("append").parquet(path)
-    source = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    return frames.assembled(streams.run_once(frames.frame_stream(source), shared_dir(spark)))
+        pieces.where(F.pmod(F.xxhash64("session", "seq"), F.lit(3)) == at).coalesce(files).write.mode("append").parquet(path)
+    source = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return frames.assembled(streams.run_once(frames.frame_stream(source, keys), shared_dir(spark)))
 
 
 def chat_answers(spark: SparkSession, d: str) -> DataFrame:

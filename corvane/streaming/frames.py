@@ -6,6 +6,7 @@ a blank line; lines end with LF or CRLF; several data lines of a frame are joine
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,34 +34,48 @@ def parse(rest: bytes, piece: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 
 class _Frames(StatefulProcessor):
-    """All that a session holds is one value, read and written once a micro-batch: each call to the state costs far more than a piece."""
+    """All that a key's sessions hold is one value, read and written once a micro-batch: each call to the state costs far more than a piece, and each key far more than a session."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next long, frames long, rest binary, seqs array<bigint>, pieces array<binary>")
+        self.place = handle.getValueState("place", "sessions binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_, count, rest, seqs, pieces = self.place.get() or (0, 0, b"", [], [])
-        held = {int(s): bytes(p) for s, p in zip(seqs, pieces, strict=True)}  # pieces ahead
+        """Rows without a column ``session`` are of the session that the key names."""
+        kept = self.place.get()
+        held = pickle.loads(kept[0]) if kept else {}  # by session: next, frames, rest, pieces ahead
+        met = {}
         for frame in rows:
-            held.update((int(s), bytes(p)) for s, p in zip(frame["seq"], frame["piece"], strict=True) if s >= next_)
-        out, rest, ready = [], bytes(rest), []
-        while next_ in held:
-            ready.append(held.pop(next_))
-            next_ += 1
-        frames, rest = parse(rest, b"".join(ready))
-        for event, data in frames:
-            out.append((key[0], count, event, data))
-            count += 1
-        self.place.update((next_, count, rest, list(held), list(held.values())))
+            sessions = frame["session"] if "session" in frame.columns else [key[0]] * len(frame)
+            for session, s, p in zip(sessions, frame["seq"], frame["piece"], strict=True):
+                place = met.get(session)
+                if place is None:
+                    place = met[session] = held.setdefault(session, [0, 0, b"", {}])
+                if s >= place[0]:
+                    place[3][int(s)] = bytes(p)
+        out = []
+        for session, place in met.items():
+            next_, count, rest, ahead = place
+            ready = []
+            while next_ in ahead:
+                ready.append(ahead.pop(next_))
+                next_ += 1
+            frames, rest = parse(rest, b"".join(ready))
+            name = session if session is None else int(session)
+            out += [(name, count + i, event, data) for i, (event, data) in enumerate(frames)]
+            place[:3] = next_, count + len(frames), rest
+        self.place.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
         yield pd.DataFrame(out, columns=["session", "n", "event", "data"], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def frame_stream(pieces: DataFrame) -> DataFrame:
-    """(session, n, event, data) for a stream of pieces (session: long, seq from 0, piece: binary), each frame once it is whole; pieces that come twice count once."""
-    return pieces.select("session", "seq", "piece").groupBy("session").transformWithStateInPandas(_Frames(), "session long, n long, event string, data string", "Append", "None")
+def frame_stream(pieces: DataFrame, keys: int = 1024) -> DataFrame:
+    """(session, n, event, data) for a stream of pieces (session: long, seq from 0, piece: binary), each frame once it is whole; pieces that come twice count once.
+
+    Sessions are dealt to ``keys`` keys of the state by a hash; a stream has to go on with as many as it began with."""
+    rows = pieces.select(F.pmod(F.xxhash64("session"), F.lit(keys)).alias("of"), F.col("session").cast("string").alias("session"), "seq", "piece")
+    return rows.groupBy("of").transformWithStateInPandas(_Frames(), "session long, n long, event string, data string", "Append", "None")
 
 
 def assembled(frames: DataFrame) -> DataFrame:

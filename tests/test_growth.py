@@ -207,6 +207,35 @@ def test_frames_call_the_state_twice_a_batch():
     assert len(calls) == 6  # several for each piece before
 
 
+def test_sessions_of_frames_share_a_key():
+    """A hundred sessions and one without a name take as many calls to the state as one, and each has its own frames."""
+    calls, held = [], []
+
+    class Place:
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    class Handle:
+        def getValueState(self, *_):
+            return Place()
+
+    text = lambda i: f"event: delta\ndata: {i}é\n\ndata: last {i}\n\n".encode()
+    pieces = [(s, k, text(s)[at : at + 5]) for s in (*(str(2**60 + i) for i in range(100)), None) for k, at in enumerate(range(0, len(text(s)), 5))]
+    machine, got = frames._Frames(), []
+    machine.init(Handle())
+    for part in (1, 0):
+        mine = pd.DataFrame([x for x in pieces if x[1] % 2 == part], columns=["session", "seq", "piece"])
+        for out in machine.handleInputRows((7,), iter([mine]), None):
+            got += out.itertuples(index=False, name=None)
+    assert got == [row for s in (*(2**60 + i for i in range(100)), None) for row in ((s, 0, "delta", f"{s}é"), (s, 1, "message", f"last {s}"))]
+    assert len(calls) == 4
+
+
 def test_memory_calls_the_state_by_session():
     """Forty keys of a session take as many calls as one, and each expires at its own time."""
     calls, timers = [], set()
